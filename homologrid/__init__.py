@@ -7,4 +7,12 @@
 ``streaming``  resumable, incremental ingestion of hit files
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to Python workers travel by value, so a job needs no copy of this
+# package on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

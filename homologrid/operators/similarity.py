@@ -23,7 +23,6 @@ from homologrid.operators.vectors import (
     MAX_SHIPPED_BYTES,
     check_shipped,
     dot,
-    elements,
     matrix_of,
     moments,
     vector_width,
@@ -155,16 +154,11 @@ def similarity_profile(
 def cluster_means(vectors: DataFrame, cluster: str, vector: str) -> DataFrame:
     """Mean vector and size of each cluster, folded on the map side."""
     width = vector_width(vectors, vector)
+    mean = ", ".join(f"avg(CAST(`{vector}`[{i}] AS DOUBLE))" for i in range(width))
     return (
         vectors.where(F.col(cluster).isNotNull())
-        .select(F.col(cluster).alias("cluster"), *[
-            e.alias(f"e{i}") for i, e in enumerate(elements(vector, width))
-        ])
-        .groupBy("cluster")
-        .agg(
-            F.count(F.lit(1)).alias("size"),
-            F.array(*[F.avg(f"e{i}") for i in range(width)]).alias("mean"),
-        )
+        .groupBy(F.col(cluster).alias("cluster"))
+        .agg(F.count(F.lit(1)).alias("size"), F.expr(f"array({mean})").alias("mean"))
     )
 
 

@@ -20,16 +20,16 @@ def vector_width(df: DataFrame, vector: str) -> int:
 
 
 def elements(vector: str, width: int) -> list[Column]:
-    """The entries of a vector as separate double columns."""
-    return [F.get(F.col(vector), F.lit(i)).cast("double") for i in range(width)]
+    """The entries of a vector as separate double columns; a shorter vector is an error."""
+    return [F.expr(f"CAST(`{vector}`[{i}] AS DOUBLE)") for i in range(width)]
 
 
 def dot(vector: str, weights: Sequence[float]) -> Column:
     """Dot product with a fixed vector, as one generated expression."""
-    total = F.lit(0.0)
-    for entry, weight in zip(elements(vector, len(weights)), weights):
-        total = total + entry * F.lit(float(weight))
-    return total
+    terms = [
+        f"CAST(`{vector}`[{i}] AS DOUBLE) * {float(weight)!r}D" for i, weight in enumerate(weights)
+    ]
+    return F.expr(" + ".join(terms) if terms else "0D")
 
 
 def matrix_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -70,40 +70,31 @@ def moments(df: DataFrame, vector: str, width: int | None = None) -> tuple[int,
     if width == 0:
         return 0, np.zeros(0), np.zeros((0, 0))
     check_shipped(width, width, "second moments")
-    schema = "i int, total double, row array<double>, n bigint"
+    # Cells of the upper-left (width + 1)^2 block: moments, then sums, then the count.
+    side = width + 1
+    schema = "cell int, amount double"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total, gram = 0, np.zeros(width), np.zeros((width, width))
+        gram = np.zeros((side, side))
         for batch in batches:
             block = matrix_of(batch, vector)
             if len(block):
-                count += len(block)
-                total += block.sum(axis=0)
-                gram += block.T @ block
-        if count:
+                extended = np.hstack([block, np.ones((len(block), 1))])
+                gram += extended.T @ extended
+        if gram[-1, -1]:
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(width, dtype=np.int32)),
-                    pa.array(total),
-                    list_column(gram),
-                    pa.array(np.full(width, count, dtype=np.int64)),
-                ],
-                names=["i", "total", "row", "n"],
+                [pa.array(np.arange(side * side, dtype=np.int32)), pa.array(gram.reshape(-1))],
+                names=["cell", "amount"],
             )
 
-    partials = df.select(F.col(vector).cast("array<double>").alias(vector)).mapInArrow(
-        partial, schema
-    )
-    summed = partials.groupBy("i").agg(
-        F.sum("n").alias("n"),
-        F.sum("total").alias("total"),
-        F.array(*[F.sum(F.get("row", F.lit(j))) for j in range(width)]).alias("row"),
-    )
-    rows = sorted(summed.collect(), key=lambda r: r["i"])
-    if not rows:
-        return 0, np.zeros(width), np.zeros((width, width))
-    return (
-        int(rows[0]["n"]),
-        np.array([r["total"] for r in rows]),
-        np.array([r["row"] for r in rows]),
+    summed = (
+        df.select(F.col(vector).cast("array<double>").alias(vector))
+        .mapInArrow(partial, schema)
+        .groupBy("cell")
+        .agg(F.sum("amount").alias("amount"))
+        .toPandas()
     )
+    gram = np.zeros(side * side)
+    gram[summed["cell"].to_numpy()] = summed["amount"].to_numpy()
+    gram = gram.reshape(side, side)
+    return int(gram[-1, -1]), gram[-1, :-1].copy(), gram[:-1, :-1].copy()
