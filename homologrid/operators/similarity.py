@@ -87,8 +87,6 @@ def key_similarities(
     is checked; many keys are handled in several passes over the columns.
     """
     wanted = list(dict.fromkeys(keys))
-    width = vector_width(vectors, vector)
-    check_shipped(len(wanted), width, "key vectors")
     found = {
         row["id"]: row["v"]
         for row in vectors.where(F.col(id_column).isin(wanted))
@@ -98,6 +96,7 @@ def key_similarities(
     unknown = [key for key in wanted if key not in found]
     if unknown:
         raise ValueError(f"unknown keys: {unknown}")
+    check_shipped(len(wanted), max((len(v) for v in found.values()), default=0), "key vectors")
     out = vectors.select(F.col(id_column).alias("protid"), F.col(vector).alias("_vector"))
     for start in range(0, len(wanted), KEYS_PER_PASS):
         out = out.select(

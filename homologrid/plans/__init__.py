@@ -1,0 +1 @@
+"""End-to-end runs composed of the operators."""

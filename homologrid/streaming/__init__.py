@@ -1,0 +1 @@
+"""Resumable, incremental ingestion."""

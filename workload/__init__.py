@@ -5,6 +5,7 @@ from __future__ import annotations
 from workload import (
     feature_queries,
     hit_queries,
+    map_queries,
     similarity_queries,
     statistics_queries,
     study_queries,
@@ -18,6 +19,7 @@ MODULES = [
     statistics_queries,
     text_queries,
     study_queries,
+    map_queries,
 ]
 
 QUERIES = {name: build for module in MODULES for name, build in module.QUERIES.items()}
