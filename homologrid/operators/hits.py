@@ -29,7 +29,8 @@ def model_hits(hits: DataFrame) -> DataFrame:
 def first_seen(df: DataFrame, key: str, position: Column | Sequence[Column]) -> DataFrame:
     """Distinct non-null keys with the position of their first row (``pos``)."""
     spot = F.struct(*position) if isinstance(position, (list, tuple)) else position
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(spot).alias("pos"))
+    placed = df.where(F.col(key).isNotNull()).select(key, spot.alias("pos"))
+    return placed.groupBy(key).agg(F.min("pos").alias("pos"))
 
 
 def capped(df: DataFrame, limit: int | None, order: Sequence[Column | str]) -> DataFrame:

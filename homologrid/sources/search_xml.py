@@ -1,4 +1,4 @@
-"""Sequence-search XML to the 17-column hit table, with Spark's XML source."""
+"""Sequence-search XML to the 17-column hit table, with Spark's XML functions."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from homologrid.schemas import SEQUENCE_HITS
 # Accession inside a hit id, and the kept length of a description.
 ACCESSION_PATTERN = r"(?:ref\|)?([A-Z0-9_]+)(?:\.\d+)?\|?"
 DESCRIPTION_WIDTH = 80
+DOCUMENT_PATTERN = r"(?s)<BlastOutput[ >].*</BlastOutput>"
 
 
 def _text_fields(*names: str) -> list[T.StructField]:
@@ -49,15 +50,30 @@ SEARCH_DOCUMENT = T.StructType(
 )
 
 
+def _ddl(kind: T.DataType) -> str:
+    """Schema text with quoted names (they hold hyphens)."""
+    if isinstance(kind, T.StructType):
+        inner = ", ".join(f"`{f.name}`: {_ddl(f.dataType)}" for f in kind.fields)
+        return f"STRUCT<{inner}>"
+    if isinstance(kind, T.ArrayType):
+        return f"ARRAY<{_ddl(kind.elementType)}>"
+    return kind.simpleString()
+
+
 def read_search_xml(spark: SparkSession, path: str) -> DataFrame:
-    """All alignments of all documents; text around a document is skipped."""
-    documents = (
-        spark.read.format("xml")
-        .option("rowTag", "BlastOutput")
-        .schema(SEARCH_DOCUMENT)
-        .load(path)
+    """All alignments of the result documents, one document per file.
+
+    Status text around a document is cut off; a file without one (the service was
+    still working) gives no rows.
+    """
+    document = F.regexp_extract("value", DOCUMENT_PATTERN, 0)
+    parsed = (
+        spark.read.text(path, wholetext=True)
+        .select(document.alias("document"))
+        .where(F.col("document") != "")
+        .select(F.from_xml("document", _ddl(SEARCH_DOCUMENT)).alias("parsed"))
     )
-    return alignments(documents)
+    return alignments(parsed.select("parsed.*"))
 
 
 def _number(field: str) -> Column:

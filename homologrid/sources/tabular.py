@@ -23,7 +23,7 @@ def missing_to_null(df: DataFrame) -> DataFrame:
 
 
 def _typed_text(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, keep_file: bool
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, with_position: bool
 ) -> DataFrame:
     """Headerless TSV: read as text columns, null the missing cells, then cast.
 
@@ -42,24 +42,34 @@ def _typed_text(
         elif not isinstance(field.dataType, T.StringType):
             cell = cell.cast(field.dataType)
         cells.append(cell.alias(field.name))
-    if keep_file:
-        cells.append(F.col("_metadata.file_path").alias("source_file"))
-        cells.append(F.col("_metadata.file_block_start").alias("source_block"))
+    if with_position:
+        # File, then split within the file, then row within the split: the order of the
+        # lines, whatever tasks the splits were given to.
+        cells.append(
+            F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            ).alias("pos")
+        )
     return raw.select(*cells)
 
 
 def read_structure_hits(
-    spark: SparkSession, paths: str | Sequence[str], keep_file: bool = False
+    spark: SparkSession, paths: str | Sequence[str], with_position: bool = False
 ) -> DataFrame:
-    """Structure-search hits, any number of files, empty files included."""
-    return _typed_text(spark, paths, STRUCTURE_HITS, keep_file)
+    """Structure-search hits, any number of files, empty files included.
+
+    ``with_position`` adds ``pos``, the place of a line among all files by name.
+    """
+    return _typed_text(spark, paths, STRUCTURE_HITS, with_position)
 
 
 def read_sequence_hits(
     spark: SparkSession,
     paths: str | Sequence[str],
     columns: Sequence[str] | None = None,
-    keep_file: bool = False,
+    with_position: bool = False,
 ) -> DataFrame:
     """Sequence-search hits; ``columns`` gives the order when it is not the usual one."""
     schema = SEQUENCE_HITS
@@ -68,7 +78,7 @@ def read_sequence_hits(
         schema = T.StructType(
             [known.get(name, T.StructField(name, T.StringType())) for name in columns]
         )
-    return _typed_text(spark, paths, schema, keep_file)
+    return _typed_text(spark, paths, schema, with_position)
 
 
 def columns_of_format(format_string: str) -> list[str]:
@@ -77,7 +87,7 @@ def columns_of_format(format_string: str) -> list[str]:
 
 
 def read_cluster_members(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return _typed_text(spark, paths, CLUSTER_MEMBERS, keep_file=False)
+    return _typed_text(spark, paths, CLUSTER_MEMBERS, with_position=False)
 
 
 def read_features(
