@@ -246,26 +246,21 @@ class Run:
             ),
         )
 
+    def _notes(self, column: str) -> DataFrame:
+        return self.mapped_features().select("LeidenCluster", F.col(f"`{column}`").alias("note"))
+
     def annotation_table(self, column: str = "Protein names") -> DataFrame:
         return self.stages.run(
             "annotations",
             lambda: annotations.top_annotations(
-                annotations.annotation_counts(
-                    self.mapped_features().withColumnRenamed(column, "annotation"),
-                    "LeidenCluster",
-                    "annotation",
-                )
+                annotations.annotation_counts(self._notes(column), "LeidenCluster", "note")
             ),
         )
 
     def word_table(self, column: str = "Protein names") -> DataFrame:
         return self.stages.run(
             "words",
-            lambda: annotations.word_frequencies(
-                self.mapped_features().withColumnRenamed(column, "annotation"),
-                "LeidenCluster",
-                "annotation",
-            ),
+            lambda: annotations.word_frequencies(self._notes(column), "LeidenCluster", "note"),
         )
 
     def plot_table(self, mode: str) -> DataFrame:

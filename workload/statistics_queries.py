@@ -172,6 +172,14 @@ tails AS (
 tested AS (SELECT s.*, p FROM scored s JOIN tails USING (cluster))
 """
 
+# A sample of one value without ties has an exact p: its rank is uniform.
+_EXACT_SINGLE = """
+tested AS (
+  SELECT t.* EXCLUDE (p), CASE WHEN n1 = 1 AND ties = 0
+    THEN least(1.0, 2 * (n2 - ceil(greatest(u, n2 - u)) + 1) / (n2 + 1)) ELSE p END AS p
+  FROM plain t)
+"""
+
 _ADJUST = """
 ranks AS (
   SELECT cluster, p, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r,
@@ -227,7 +235,8 @@ SELECT p_partkey, family, p,
   round(least(1.0, min(p * m / r) OVER (PARTITION BY family ORDER BY p DESC)), 8) AS padj
 FROM ranks""",
     "cluster_median_markers": f"""
-WITH {_BALANCES}, {_POOL_TARGETS}, {_RANK_SUM}, {_ADJUST},
+WITH {_BALANCES}, {_POOL_TARGETS}, {_RANK_SUM.replace("tested AS", "plain AS")}, {_EXACT_SINGLE},
+{_ADJUST},
 meds AS (SELECT cluster, median(value) AS median FROM vals GROUP BY cluster),
 target AS (SELECT median(value) AS target_median FROM vals WHERE cluster = 'BUILDING')
 SELECT t.cluster, CAST(n1 AS BIGINT) AS n1, round(padj, 8) AS padj, median, target_median,
