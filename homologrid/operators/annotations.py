@@ -49,12 +49,22 @@ def word_frequencies(
     annotation: str,
     excluded: Sequence[str] = tuple(EXCLUDED_WORDS),
 ) -> DataFrame:
-    """Relative frequency of each kept word among the kept words of its cluster."""
-    words = df.where(F.col(cluster).isNotNull() & F.col(annotation).isNotNull()).select(
-        F.col(cluster).alias("cluster"),
-        F.explode(kept_words(F.col(annotation), excluded)).alias("word"),
+    """Relative frequency of each kept word among the kept words of its cluster.
+
+    Words are counted as written first; excluding and cleaning then touch each
+    distinct word once, and counts of words that become equal are added.
+    """
+    raw = (
+        df.where(F.col(cluster).isNotNull() & F.col(annotation).isNotNull())
+        .select(F.col(cluster).alias("cluster"), F.explode(F.split(annotation, " ")).alias("word"))
+        .groupBy("cluster", "word")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    counts = (
+        raw.select("cluster", F.explode(kept_words(F.col("word"), excluded)).alias("word"), "n")
+        .groupBy("cluster", "word")
+        .agg(F.sum("n").alias("n"))
     )
-    counts = words.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("cluster").agg(F.sum("n").alias("total"))
     return counts.join(totals, "cluster").select(
         "cluster", "word", "n", (F.col("n") / F.col("total")).alias("frequency")

@@ -50,33 +50,56 @@ def best_origin(scores: dict[str, Column]) -> Column:
     return F.array_max(ranked)["name"]
 
 
-def _flag(condition: Column) -> Column:
-    return F.coalesce(F.max(condition.cast("int")), F.lit(0))
+def _seen(condition: Column) -> Column:
+    return F.coalesce(F.max(condition), F.lit(False))
 
 
 def assess_structures(lines: DataFrame) -> DataFrame:
     """``protid, pdb_origin, pdb_confidence, pdb_chains`` of every valid structure.
 
-    All flags and numbers are conditional aggregates of one grouping by file;
-    partial results are combined before the shuffle, and chains are first-seen
-    minima per chain letter.
+    One scan and one wide shuffle: lines fold to one row per (structure, chain)
+    before they move, and those few rows fold to one per structure.
     """
     line = F.col("line")
-    upper = F.upper(line)
-    in_title, in_remark = line.contains("TITLE"), line.contains("REMARK")
-    reference = F.substring(line, 1, 6).contains("DBREF") & (
-        F.get(F.split(F.trim(line), r"\s+"), F.lit(5)) == ARCHIVE
+    atom = is_atom(line)
+    first, last = ATOM_FIELDS["CHAIN"]
+    temp = fixed_width(line, *ATOM_FIELDS["TEMP"])
+    typed = lines.select(
+        "protid",
+        "line_no",
+        "line",
+        F.upper(line).alias("upper"),
+        atom.alias("atom"),
+        F.when(atom, fixed_width(line, first, last)).alias("chain"),
+        F.when(atom, temp.try_cast("double")).alias("temp"),
     )
-    confidence = F.when(is_atom(line), fixed_width(line, *ATOM_FIELDS["TEMP"]).try_cast("double"))
+    upper = F.col("upper")
     words = {"a": PREDICTED_A, "b": PREDICTED_B, "p": ARCHIVE, "r": ARCHIVE_REMARK}
-    facts = lines.groupBy("protid").agg(
-        *[_flag(upper.contains(words[w])).alias(f"m_{w}") for w in "abp"],
-        *[_flag(in_title & upper.contains(words[w])).alias(f"t_{w}") for w in "ab"],
-        *[_flag(in_remark & upper.contains(words[w])).alias(f"r_{w}") for w in "abr"],
-        _flag(reference).alias("ref"),
-        _flag(line.contains(ERROR_BODY)).alias("error"),
-        F.avg(confidence).alias("mean"),
-        F.max(confidence).alias("high"),
+    in_title, in_remark = line.contains("TITLE"), line.contains("REMARK")
+    reference = F.when(
+        F.substring(line, 1, 6).contains("DBREF"),
+        F.get(F.split(F.trim(line), r"\s+"), F.lit(5)) == ARCHIVE,
+    ).otherwise(False)
+    flags = {
+        **{f"m_{w}": upper.contains(words[w]) for w in "abp"},
+        **{f"t_{w}": in_title & upper.contains(words[w]) for w in "ab"},
+        **{f"r_{w}": in_remark & upper.contains(words[w]) for w in "abr"},
+        "ref": reference,
+        "error": line.contains(ERROR_BODY),
+    }
+    per_chain = typed.groupBy("protid", "atom", "chain").agg(
+        *[_seen(flag).alias(name) for name, flag in flags.items()],
+        F.sum("temp").alias("total"),
+        F.count("temp").alias("n"),
+        F.max("temp").alias("high"),
+        F.min("line_no").alias("line_no"),
+    )
+    seen_chain = F.when(F.col("atom"), F.struct("line_no", "chain"))
+    facts = per_chain.groupBy("protid").agg(
+        *[_seen(F.col(name)).cast("int").alias(name) for name in flags],
+        F.try_divide(F.sum("total"), F.sum("n")).alias("mean"),
+        F.max("high").alias("high"),
+        F.array_sort(F.collect_list(seen_chain)).alias("chains"),
     )
     scores = origin_scores(
         {PREDICTED_A: F.col("m_a"), PREDICTED_B: F.col("m_b"), ARCHIVE: F.col("m_p")},
@@ -84,29 +107,15 @@ def assess_structures(lines: DataFrame) -> DataFrame:
         {PREDICTED_A: F.col("r_a"), PREDICTED_B: F.col("r_b"), ARCHIVE_REMARK: F.col("r_r")},
         F.col("ref"),
     )
-    assessed = (
+    return (
         facts.where(F.col("error") == 0)
         .withColumn("pdb_origin", best_origin(scores))
-        .withColumn(
-            "pdb_confidence", structure_confidence(F.col("pdb_origin"), F.col("mean"), F.col("high"))
+        .select(
+            "protid",
+            "pdb_origin",
+            structure_confidence(F.col("pdb_origin"), F.col("mean"), F.col("high")).alias(
+                "pdb_confidence"
+            ),
+            F.col("chains.chain").alias("pdb_chains"),
         )
-        .select("protid", "pdb_origin", "pdb_confidence")
-    )
-    return assessed.join(chains(lines), "protid", "left").withColumn(
-        "pdb_chains", F.coalesce("pdb_chains", F.array().cast("array<string>"))
-    )
-
-
-def chains(lines: DataFrame) -> DataFrame:
-    """Chain letters per structure in order of appearance."""
-    first, last = ATOM_FIELDS["CHAIN"]
-    seen = (
-        lines.where(is_atom(F.col("line")))
-        .select("protid", "line_no", fixed_width(F.col("line"), first, last).alias("chain"))
-        .groupBy("protid", "chain")
-        .agg(F.min("line_no").alias("line_no"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "chain")))
-    return seen.groupBy("protid").agg(ordered.alias("seen")).select(
-        "protid", F.col("seen.chain").alias("pdb_chains")
     )

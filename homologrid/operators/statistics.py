@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from homologrid.functions.probability import kolmogorov_tail, two_sided_p
@@ -34,6 +34,9 @@ ADJUSTED_P_THRESHOLD = 0.001
 EMPTY_CLUSTER_VALUE = 0.0
 EXACT_SAMPLE_SIZE = 8
 
+# Up to this many tests are adjusted with plain windows.
+TESTS_IN_ONE_TASK = 200_000
+
 
 def cluster_values(df: DataFrame, cluster: str, value: str) -> DataFrame:
     """Non-null values per cluster; a cluster without any gets a single 0."""
@@ -64,17 +67,18 @@ def _tie_term(n: Column) -> Column:
     return n * n * n - n
 
 
-def _sided_counts(values: DataFrame, targets: Sequence | None) -> tuple[DataFrame, DataFrame]:
-    """Counts per (cluster, value), and per value of the comparison sample with its ranks."""
+def _sided_counts(
+    values: DataFrame, targets: Sequence | None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts per (cluster, value); per value of the comparison sample; the same with ranks."""
     counts = value_counts(values, "value", ["cluster"])
     compared = F.col("n")
     if targets is not None:
         # Values the comparison sample lacks take part with a count of 0.
         compared = F.when(F.col("cluster").isin(list(targets)), F.col("n")).otherwise(0)
     pooled = counts.groupBy("value").agg(F.sum(compared).alias("base"))
-    return counts, running_totals(
-        pooled, "value", ["base"], bounds=range_bounds(values, "value")
-    )
+    ranked = running_totals(pooled, "value", ["base"], bounds=range_bounds(values, "value"))
+    return counts, pooled, ranked
 
 
 def rank_sum_test(
@@ -88,7 +92,7 @@ def rank_sum_test(
     carries the tie and continuity corrections.  Small untied samples get the
     exact p-value when ``exact``.
     """
-    counts, ranked = _sided_counts(values, targets)
+    counts, pooled, ranked = _sided_counts(values, targets)
     joined = counts.join(ranked, "value")
     own = F.col("n").cast("double")
     base = F.col("base").cast("double")
@@ -99,7 +103,7 @@ def rank_sum_test(
         # Change of the tie sum of the comparison sample through this cluster's values.
         F.sum(_tie_term(F.col("n") + F.col("base")) - _tie_term(F.col("base"))).alias("tie_gain"),
     )
-    overall = ranked.agg(
+    overall = pooled.agg(
         F.sum("base").alias("size"), F.sum(_tie_term(F.col("base"))).alias("tie_base")
     )
     both = with_scalars(per_cluster, overall)
@@ -178,11 +182,11 @@ def distribution_gap_test(values: DataFrame, targets: Sequence | None = None) ->
     cluster's next value (or at the very end, where it is 0), so it is enough to
     look at and just below each of the cluster's own values.
     """
-    counts, ranked = _sided_counts(values, targets)
+    counts, pooled, ranked = _sided_counts(values, targets)
     bounds = range_bounds(values, "value")
     own = running_totals(counts, "value", ["n"], ["cluster"], bounds)
     sizes = counts.groupBy("cluster").agg(F.sum("n").alias("n1"))
-    size = ranked.agg(F.sum("base").alias("size"))
+    size = pooled.agg(F.sum("base").alias("size"))
     joined = with_scalars(own.join(ranked, "value").join(sizes, "cluster"), size)
     n1 = F.col("n1").cast("double")
     if targets is None:
@@ -227,6 +231,24 @@ def distribution_test(
     return TESTS[method](values, targets)
 
 
+def _adjust_small(tests: DataFrame, p: str, family: list[str]) -> DataFrame:
+    """The same adjustment with plain windows, for a counted, small number of tests."""
+    upto = Window.partitionBy(*family).orderBy(p)
+    onward = Window.partitionBy(*family).orderBy(F.col(p).desc())
+    known = F.col(p).isNotNull()
+    raw = (
+        F.col(p)
+        * F.count(p).over(Window.partitionBy(*family))
+        / F.count(p).over(upto)
+    )
+    # Range frames: equal p-values share the largest rank and the smallest value.
+    return (
+        tests.withColumn("_raw", F.when(known, raw))
+        .withColumn("padj", F.when(known, F.least(F.lit(1.0), F.min("_raw").over(onward))))
+        .drop("_raw")
+    )
+
+
 def adjust_p(tests: DataFrame, p: str = "p", family: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg step-up adjustment inside each family; adds ``padj``.
 
@@ -235,8 +257,13 @@ def adjust_p(tests: DataFrame, p: str = "p", family: Sequence[str] = ()) -> Data
     and is carried over from the ranges above.
     """
     family = list(family)
-    # One small row per test, read several times below: write it once.
-    tests = StageArea(tests.sparkSession, "tests").write(tests)
+    # One small row per test, read several times below: write it once, count on the way.
+    seen = Observation()
+    tests = StageArea(tests.sparkSession, "tests").write(
+        tests.observe(seen, F.count(F.lit(1)).alias("n"))
+    )
+    if seen.get["n"] <= TESTS_IN_ONE_TASK:
+        return _adjust_small(tests, p, family)
     counts = value_counts(tests, p, family)
     bounds = range_bounds(tests, p)
     ranked = running_totals(counts, p, ["n"], family, bounds)

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from homologrid.functions.probability import kolmogorov_tail, two_sided_p
-from homologrid.operators import statistics
+from homologrid.operators import ordering, statistics
 from tests.conftest import as_dict
 
 
@@ -87,7 +87,10 @@ def test_tail_probabilities(spark):
     assert limit[1] == 1.0
 
 
-def test_adjustment(spark):
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_adjustment(spark, monkeypatch, limit):
+    monkeypatch.setattr(statistics, "TESTS_IN_ONE_TASK", limit)
+    monkeypatch.setattr(ordering, "ONE_RANGE_BYTES", limit)
     table = spark.createDataFrame(
         [(0.01,), (0.04,), (0.03,), (0.005,)], "p double"
     )
@@ -129,7 +132,9 @@ def test_markers_and_empty_clusters(spark):
         statistics.distribution_test(values, ["nope"])
 
 
-def test_row_order_does_not_matter(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_row_order_and_ranges_do_not_matter(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordering, "ONE_RANGE_BYTES", limit)
     rng = np.random.default_rng(4)
     values = frame(spark, {c: rng.normal(i, 1, 50) for i, c in enumerate("abc")})
     shuffled = values.orderBy(F.rand(3)).repartition(5)

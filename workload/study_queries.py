@@ -104,6 +104,11 @@ def compactness_table(spark: SparkSession, folder: str) -> DataFrame:
     return study.compactness_table(runs)
 
 
+def _fixed(number, digits: int):
+    """A number with a fixed count of decimals."""
+    return number.cast(f"decimal(10,{digits})").cast("string")
+
+
 def atom_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line items written as fixed-width ATOM lines, read back by column ranges."""
     lines = table(spark, folder, "lineitem").select(
@@ -117,12 +122,12 @@ def atom_lines(spark: SparkSession, folder: str) -> DataFrame:
             F.col("l_returnflag"),
             F.lpad(F.pmod("l_partkey", F.lit(10000)).cast("string"), 4, " "),
             F.lit("    "),
-            F.lpad(F.format_string("%.3f", F.col("l_quantity")), 8, " "),
-            F.lpad(F.format_string("%.2f", F.col("l_tax")), 7, " "),
+            F.lpad(_fixed(F.col("l_quantity"), 3), 8, " "),
+            F.lpad(_fixed(F.col("l_tax"), 2), 7, " "),
             F.lit(" "),
-            F.lpad(F.format_string("%.3f", F.col("l_discount")), 8, " "),
+            F.lpad(_fixed(F.col("l_discount"), 3), 8, " "),
             F.lit("  1.00"),
-            F.lpad(F.format_string("%.2f", F.col("l_quantity") * 2), 6, " "),
+            F.lpad(_fixed(F.col("l_quantity") * 2, 2), 6, " "),
         ).alias("line"),
     )
     return lines
