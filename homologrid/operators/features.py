@@ -93,23 +93,27 @@ def override_cells(
         .groupBy(key)
         .agg(
             F.min_by(
-                F.struct(*[_cell(name).alias(name) for name in shared]),
-                F.struct(*[_cell(name).alias(f"s{i}") for i, name in enumerate(sort_by)]),
+                F.struct(F.lit(True).alias("_given"), *[_cell(c).alias(c) for c in shared]),
+                F.struct(F.lit(0), *[_cell(c).alias(f"s{i}") for i, c in enumerate(sort_by)]),
             ).alias("_new")
         )
     )
-    kept = features.withColumn("_known", F.lit(True))
-    joined = kept.join(first.withColumn("_given", F.lit(True)), key, "full")
-    cells = [_cell(key)]
+    joined = features.join(first, key, "left")
+    cells, added_cells = [], []
     for field in features.schema.fields:
-        if field.name == key:
-            continue
+        new = F.col(f"_new.`{field.name}`") if field.name in shared else F.lit(None)
+        new = _cell(key) if field.name == key else new.cast(field.dataType)
+        added_cells.append(new.alias(field.name))
         if field.name in shared:
-            new = F.col(f"_new.`{field.name}`").cast(field.dataType)
-            cells.append(F.when(F.col("_given"), new).otherwise(_cell(field.name)).alias(field.name))
+            cell = F.when(F.col("_new").isNotNull(), new).otherwise(_cell(field.name))
+            cells.append(cell.alias(field.name))
         else:
             cells.append(_cell(field.name))
-    return joined.select(*cells)
+    # Only the key column is read again to find the unknown keys; the table itself is not
+    # shuffled when the override is small.
+    known = features.select(key).join(first.select(key), key, "left_semi").distinct()
+    added = first.join(known, key, "left_anti")
+    return joined.select(*cells).unionAll(added.select(*added_cells))
 
 
 def concordance(
