@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from homologrid.operators import graph, layout, reduction
+from homologrid.operators import graph, layout, reduction, superposition
 from homologrid.operators.neighbours import (
     default_neighbours,
     neighbour_lists,
@@ -211,3 +211,39 @@ def test_small_layouts(spark):
     assert as_dict(communities_of_coordinates(two.withColumnRenamed("vector", "coords")), "protid", "LeidenCluster") == {0: "LC0", 1: "LC0"}
     with pytest.raises(ValueError):
         layout.reduce_dimensions(one, "mds")
+
+
+def test_tm_scores(spark):
+    rng = np.random.default_rng(6)
+    base = np.cumsum(rng.normal(size=(40, 3)) * 2, axis=0)
+    angle = 0.7
+    turn = np.array([[np.cos(angle), -np.sin(angle), 0], [np.sin(angle), np.cos(angle), 0], [0, 0, 1]])
+    shapes = {
+        "a": base,
+        "moved": base @ turn + [5, -3, 2],
+        "noisy": base @ turn + rng.normal(size=(40, 3)),
+        "mirror": base * [1, 1, -1],
+    }
+    rows = [
+        (name, k, *[float(v) for v in point])
+        for name, points in shapes.items()
+        for k, point in enumerate(points)
+    ]
+    carbons = spark.createDataFrame(rows, "protid string, residue int, x double, y double, z double")
+    pairs = spark.createDataFrame([("a", t) for t in shapes], "query string, target string")
+    aligned = superposition.index_aligned(pairs, carbons)
+    first = as_dict(superposition.tm_scores(aligned, rounds=1), "target", "score")
+    better = as_dict(superposition.tm_scores(aligned, rounds=4), "target", "score")
+
+    def direct(q, t):
+        a, b = q - q.mean(axis=0), t - t.mean(axis=0)
+        u, _, vt = np.linalg.svd(a.T @ b)
+        u[:, 2] *= np.sign(np.linalg.det(u) * np.linalg.det(vt))
+        d2 = ((a @ (u @ vt) - b) ** 2).sum(axis=1)
+        d0 = 1.24 * (len(t) - 15) ** (1 / 3) - 1.8
+        return (1 / (1 + d2 / d0**2)).mean()
+
+    for name, points in shapes.items():
+        assert first[name] == pytest.approx(direct(base, points))
+        assert better[name] >= first[name] - 1e-9
+    assert first["moved"] == pytest.approx(1.0) and first["mirror"] < 0.9

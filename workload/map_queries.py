@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homologrid.operators import graph, layout, reduction
+from homologrid.operators import graph, layout, reduction, superposition
 from homologrid.operators.neighbours import default_neighbours, neighbour_lists, neighbour_rows
 from homologrid.operators.vectors import vector_width
 from homologrid.plans.clustering import communities_of_vectors
@@ -118,6 +118,22 @@ def umap_layout(spark: SparkSession, folder: str) -> DataFrame:
     return reduction.coordinate_columns(found, "UMAP", 2, first=1)
 
 
+def structure_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """TM-scores of every vector, read as a chain of 3-D points, with its nearest ones."""
+    vectors = _vectors(spark, folder)
+    chain = F.sequence(F.lit(0), F.floor(F.size("vector") / 3).cast("int") - 1)
+    carbons = vectors.select("protid", "vector", F.explode(chain).alias("residue")).select(
+        "protid",
+        "residue",
+        *[
+            (F.get("vector", F.col("residue") * 3 + i).cast("double") * 10).alias(axis)
+            for i, axis in enumerate("xyz")
+        ],
+    )
+    pairs = neighbour_rows(neighbour_lists(vectors, 5)).select("query", "target")
+    return superposition.tm_scores(superposition.index_aligned(pairs, carbons), rounds=2)
+
+
 QUERIES = {
     "knn_graph": knn_graph,
     "knn_in_degree": knn_in_degree,
@@ -125,6 +141,7 @@ QUERIES = {
     "fuzzy_weights": fuzzy_weights,
     "leiden_membership": leiden_membership,
     "setcover_clusters": setcover_clusters,
+    "structure_pair_scores": structure_pair_scores,
     "pca_scores": pca_scores,
     "pca_variance": pca_variance,
     "similarity_pca_scores": similarity_pca_scores,
