@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from homologrid.functions.scaling import rounded
 from homologrid.functions.taxa import TAXON_FOCUS, taxon_category
 from homologrid.functions.words import wrapped
+from homologrid.operators.ordering import dense_codes
 
 # Fills of missing cells, score ranges, axis margin, legend limit and the
 # marker text of missing categories.
@@ -210,6 +211,43 @@ def category_table(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _lightened(colour: Column, step: Column) -> Column:
+    """A #RRGGBB colour moved towards white; step 0 leaves it as it is."""
+    parts = []
+    for start in (2, 4, 6):
+        value = F.conv(F.substring(colour, start, 2), 16, 10).cast("int")
+        lighter = F.round(value + (255 - value) * step / (step + 1)).cast("int")
+        parts.append(F.lpad(F.hex(lighter), 2, "0"))
+    return F.concat(F.lit("#"), *parts)
+
+
+def category_colours(
+    df: DataFrame,
+    column: str,
+    palette: Sequence[str] | None = None,
+    fixed: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """``category, colour`` of every category of a column.
+
+    With ``fixed`` every category must have an entry.  With a palette colours go to
+    the categories in sorted order; when they run out, lighter shades follow.
+    """
+    category = F.col(f"`{column}`").cast("string").alias("category")
+    names = df.select(category).where(F.col("category").isNotNull())
+    if fixed is not None:
+        missing = names.where(~F.col("category").isin(list(fixed))).select("category").limit(1)
+        for row in missing.collect():
+            raise ValueError(f"no colour for category {row['category']!r} of {column}")
+        table = F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair])
+        return names.distinct().select("category", table[F.col("category")].alias("colour"))
+    if not palette:
+        raise ValueError("a palette or fixed colours are needed")
+    codes = dense_codes(names, "category")
+    base = F.get(F.array(*[F.lit(c) for c in palette]), F.pmod("code", F.lit(len(palette))).cast("int"))
+    shade = F.floor(F.col("code") / len(palette))
+    return codes.select("category", _lightened(base, shade).alias("colour"))
+
+
 def shows_legend(categories: DataFrame) -> bool:
     return len(categories.limit(LEGEND_LIMIT + 1).collect()) <= LEGEND_LIMIT
 

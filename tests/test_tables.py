@@ -278,3 +278,11 @@ def test_plot_rules(spark):
     share = 0.01 / 1.01
     assert limits["TMscore_v_K"]["low"] == -0.01
     assert limits["TMscore_v_K"]["missing_until"] == pytest.approx(share / (1 + share))
+
+
+def test_fixed_colours(spark):
+    table = spark.createDataFrame([("a",), ("b",), (None,)], "c string")
+    found = presentation.category_colours(table, "c", fixed={"a": "#111111", "b": "#222222"})
+    assert as_dict(found, "category", "colour") == {"a": "#111111", "b": "#222222"}
+    with pytest.raises(ValueError, match="'b'"):
+        presentation.category_colours(table, "c", fixed={"a": "#111111"})

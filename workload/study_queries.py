@@ -279,7 +279,16 @@ def category_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return presentation.category_table(_plot_table(spark, folder), "Annotation")
 
 
+# Neutral example colours; real runs bring their own.
+PALETTE = ["#1B9E77", "#D95F02", "#7570B3", "#E7298A"]
+
+
+def category_colours(spark: SparkSession, folder: str) -> DataFrame:
+    return presentation.category_colours(table(spark, folder, "part"), "p_brand", PALETTE)
+
+
 QUERIES = {
+    "category_colours": category_colours,
     "quantile_bins": quantile_bins,
     "weighted_sample": weighted_sample,
     "sampled_marks": sampled_marks,
@@ -331,6 +340,19 @@ placed AS (
 """
 
 ORACLES = {
+    "category_colours": """
+WITH coded AS (
+  SELECT p_brand AS category, row_number() OVER (ORDER BY p_brand) - 1 AS code
+  FROM (SELECT DISTINCT p_brand FROM part)),
+base AS (
+  SELECT category, code // 4 AS step, CASE code % 4
+           WHEN 0 THEN [27, 158, 119] WHEN 1 THEN [217, 95, 2]
+           WHEN 2 THEN [117, 112, 179] ELSE [231, 41, 138] END AS rgb
+  FROM coded)
+SELECT category, '#' || array_to_string(list_transform(rgb,
+         lambda v: printf('%02X', CAST(round(v + (255 - v) * step / (step + 1)) AS INTEGER))), '')
+         AS colour
+FROM base""",
     "quantile_bins": """
 WITH edges AS (
   SELECT list_transform(generate_series(1, 9), lambda i: i / 10) AS s,
