@@ -14,6 +14,8 @@ from homologrid.session import local_session
 def spark():
     session = local_session("tests")
     session.sparkContext.setLogLevel("ERROR")
+    # Many tiny jobs: fewer, fuller partitions.
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     yield session
     session.stop()
 
