@@ -8,27 +8,32 @@ and read back; nothing is kept only on an executor's own disk.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for stage tables.
 
     ``spark.checkpoint.dir`` decides.  Only a local session without that setting
-    gets a temporary folder; a cluster without it is refused, because a
-    machine-local folder would be lost together with the machine.
+    (one process, one machine) gets a folder of its own; a cluster without it is
+    refused, because a machine-local folder would be lost together with the machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="homologrid-stages-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="homologrid-stages-")
+    return _local_folders[context.applicationId]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -45,6 +50,13 @@ class StageArea:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._next = 0
+        # Results read their stages lazily, so those go when the driver ends.
+        atexit.register(self.clear)
+
+    def clear(self) -> None:
+        """Delete every table of this area, if the session can still reach them."""
+        if self.spark.sparkContext._jsc is not None:
+            drop_path(self.spark, self.root)
 
     def write(self, df: DataFrame, label: str = "stage") -> DataFrame:
         """Write ``df`` once and return a scan of what was written."""
