@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from homologrid.llm import exact_dedup, simhash
+from homologrid.llm import exact_dedup, mixing, simhash
 
-MODULES = [exact_dedup, simhash]
+MODULES = [exact_dedup, simhash, mixing]
 
 QUERIES = {name: build for module in MODULES for name, build in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
