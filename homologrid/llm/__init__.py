@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from homologrid.llm import bpe, exact_dedup, mixing, simhash
+from homologrid.llm import bpe, exact_dedup, language, mixing, simhash
 
-MODULES = [exact_dedup, simhash, mixing, bpe]
+MODULES = [exact_dedup, simhash, mixing, bpe, language]
 
 QUERIES = {name: build for module in MODULES for name, build in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
