@@ -23,7 +23,6 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homologrid.llm.common import documents, extended, free_names, text_bytes
+from homologrid.llm.common import documents, extended, free_names, kept_by_worker, text_bytes
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Bytes of text taken together, and slices kept with their ids per worker.
@@ -71,9 +70,12 @@ def _transitions() -> np.ndarray:
 TRANSITIONS = _transitions()
 
 
-@lru_cache(1)
 def class_table() -> np.ndarray:
     """The class of every code point."""
+    return kept_by_worker(("classes of code points",), _class_table)
+
+
+def _class_table() -> np.ndarray:
     table = np.full(0x110000, OTHER, np.uint8)
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
@@ -352,9 +354,8 @@ class Encoder:
         return b"".join(map(self.ranks.bytes.__getitem__, ids.tolist()))
 
 
-@lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept_by_worker(("byte-level encoder", path), lambda: Encoder(path))
 
 
 def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -63,3 +65,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
         column = column.combine_chunks()
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
+
+
+def kept_by_worker(key: tuple, build):
+    """What ``build()`` makes, made once per Python process and key.
+
+    Functions of this package travel to the tasks by value, so their modules'
+    own variables do not outlive a task; this store does.
+    """
+    store = sys.modules.setdefault("_homologrid_kept", types.ModuleType("_homologrid_kept")).__dict__
+    if key not in store:
+        store[key] = build()
+    return store[key]
