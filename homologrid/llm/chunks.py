@@ -58,8 +58,11 @@ class ChunkEncoder:
     def _encode(self, chunks: list[bytes]) -> list:
         texts = [c.decode() for c in chunks]
         if self.offsets:
+            # Characters of the chunk, and the span of characters of every token.
             every = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            return [e.offsets for e in every]
+            return [
+                (len(t), np.array(e.offsets, np.int32).reshape(-1, 2)) for t, e in zip(texts, every)
+            ]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def chunks(self, texts: list[bytes]) -> tuple[list, np.ndarray]:
