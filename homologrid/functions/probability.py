@@ -41,14 +41,3 @@ def two_sided_p(z: Column) -> Column:
     """Two-sided normal p-value, at most 1."""
     return F.least(F.lit(1.0), normal_upper_tail(F.abs(z)) * 2)
 
-
-def kolmogorov_tail(x: Column, terms: int = 100) -> Column:
-    """Limit distribution of the two-sample KS statistic, 2 sum (-1)^(k-1) exp(-2 k^2 x^2)."""
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
-        F.lit(0.0),
-        lambda acc, k: acc
-        + F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.exp(-2.0 * k * k * x * x),
-    )
-    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), total * 2))
-    return F.when(x < 0.04, F.lit(1.0)).otherwise(bounded)

@@ -20,18 +20,6 @@ from homologrid.staging import StageArea
 
 BUCKET = "_range"
 
-# Inputs that Spark estimates below this size are ordered in one range.
-ONE_RANGE_BYTES = 16 << 20
-
-
-def fits_one_range(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate allows ordering the rows in a single task.
-
-    An unknown size counts as large.
-    """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= ONE_RANGE_BYTES
-
 
 def with_scalars(df: DataFrame, totals: DataFrame) -> DataFrame:
     """Add the cells of a one-row table as columns, through scalar subqueries."""
@@ -41,11 +29,10 @@ def with_scalars(df: DataFrame, totals: DataFrame) -> DataFrame:
 def range_bounds(df: DataFrame, value: str, pieces: int | None = None) -> list[float]:
     """At most ``pieces`` - 1 increasing cut points of a numeric column.
 
-    None are needed for a small table, unless ``pieces`` asks for them.
+    By default there are as many ranges as shuffle partitions; adaptive execution merges
+    those that turn out small.  Only a column with at most one value has no cut.
     """
     if pieces is None:
-        if fits_one_range(df):
-            return []
         pieces = shuffle_width(df.sparkSession)
     shares = [i / pieces for i in range(1, pieces)]
     row = df.select(
@@ -80,16 +67,6 @@ def running_totals(
     if bounds is None:
         bounds = range_bounds(df, value)
     groups = list(groups)
-    if not bounds:
-        smaller = (
-            Window.partitionBy(*groups)
-            .orderBy(value)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return df.select(
-            "*",
-            *[F.coalesce(F.sum(m).over(smaller), F.lit(0)).alias(f"{m}_before") for m in measures],
-        )
     cut = with_range(df, value, bounds)
     inside = (
         Window.partitionBy(*groups, BUCKET)
@@ -141,11 +118,8 @@ def exact_quantiles(
     counts = value_counts(df, value, groups)
     bounds = range_bounds(df, value)
     ranked = running_totals(counts, value, ["n"], groups, bounds)
-    if bounds:
-        sizes = counts.groupBy(*groups).agg(F.sum("n").alias("_size"))
-        ranked = ranked.join(sizes, groups) if groups else with_scalars(ranked, sizes)
-    else:
-        ranked = ranked.withColumn("_size", F.sum("n").over(Window.partitionBy(*groups)))
+    sizes = counts.groupBy(*groups).agg(F.sum("n").alias("_size"))
+    ranked = ranked.join(sizes, groups) if groups else with_scalars(ranked, sizes)
 
     def at(position):
         covers = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))

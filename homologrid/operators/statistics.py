@@ -13,10 +13,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from homologrid.functions.probability import kolmogorov_tail, two_sided_p
+from homologrid.functions.kolmogorov import two_sample_tail
+from homologrid.functions.probability import two_sided_p
 from homologrid.operators.ordering import (
     BUCKET,
     exact_quantiles,
@@ -34,9 +35,6 @@ ADJUSTED_P_THRESHOLD = 0.001
 EMPTY_CLUSTER_VALUE = 0.0
 EXACT_SAMPLE_SIZE = 8
 
-# Up to this many tests are adjusted with plain windows.
-TESTS_IN_ONE_TASK = 200_000
-
 
 def cluster_values(df: DataFrame, cluster: str, value: str) -> DataFrame:
     """Non-null values per cluster; a cluster without any gets a single 0."""
@@ -138,25 +136,29 @@ def rank_sum_test(
 
 
 def exact_rank_sum_tail(n1: int, n2: int, u: float) -> float:
-    """Two-sided exact p: share of arrangements at least as extreme, by counting."""
+    """Two-sided exact p: share of arrangements at least as extreme, by counting.
+
+    The numbers of arrangements by statistic are the coefficients of the Gaussian binomial,
+    a product of ``small`` factors (1 - q^(large + k)) / (1 - q^k): two sweeps each, linear in the
+    larger sample.  Only the shorter tail is counted.
+    """
     small, large = sorted((int(n1), int(n2)))
     if small == 0:
         return float("nan")
-    extreme = max(u, small * large - u)
-    # ways[k, s]: ways to pick k of the pooled ranks so far with statistic s.
-    ways = np.zeros((small + 1, small * large + 1))
-    ways[0, 0] = 1.0
-    for rank in range(small + large):
-        for k in range(min(small, rank + 1), 0, -1):
-            gain = rank - (k - 1)
-            if gain <= large:
-                ways[k, gain:] += ways[k - 1, : ways.shape[1] - gain]
-    total = math.comb(small + large, small)
-    tail = float(ways[small, math.ceil(extreme) :].sum())
-    return min(1.0, 2.0 * tail / total)
-
-
-def _exact_rank_sum_p(n1: str, n2: str, u: str, largest: int = 2000) -> Column:
+    # Statistics of at most the smaller of both directions are as extreme, by symmetry.
+    upto = math.floor(min(u, small * large - u))
+    ways = np.zeros(upto + 1)
+    ways[0] = 1.0
+    for k in range(1, small + 1):
+        if large + k <= upto:
+            # In one piece on the right, so every entry is taken from before the factor.
+            ways[large + k :] -= ways[: upto + 1 - large - k].copy()
+        for residue in range(min(k, upto + 1)):
+            ways[residue::k] = np.cumsum(ways[residue::k])
+    return min(1.0, 2.0 * float(ways.sum()) / math.comb(small + large, small))
+
+
+def _exact_rank_sum_p(n1: str, n2: str, u: str) -> Column:
     """Exact p for small samples, null elsewhere; one value per cluster, in Arrow batches."""
 
     @F.pandas_udf("double")
@@ -164,7 +166,7 @@ def _exact_rank_sum_p(n1: str, n2: str, u: str, largest: int = 2000) -> Column:
         return pd.Series(
             [
                 exact_rank_sum_tail(a, b, s)
-                if min(a, b) <= EXACT_SAMPLE_SIZE and max(a, b) <= largest
+                if min(a, b) <= EXACT_SAMPLE_SIZE
                 else None
                 for a, b, s in zip(first, second, stat)
             ],
@@ -175,7 +177,9 @@ def _exact_rank_sum_p(n1: str, n2: str, u: str, largest: int = 2000) -> Column:
 
 
 def distribution_gap_test(values: DataFrame, targets: Sequence | None = None) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov D of every cluster, with the limiting p-value.
+    """Two-sample Kolmogorov-Smirnov D of every cluster, with its p-value.
+
+    p is exact for samples of up to 10,000 values, else that of the effective size.
 
     The gap between two step functions is largest at a value of either sample.
     At a value only the comparison sample has, the gap is largest just before the
@@ -204,8 +208,13 @@ def distribution_gap_test(values: DataFrame, targets: Sequence | None = None) ->
     result = joined.groupBy("cluster").agg(
         F.max("n1").alias("n1"), F.max(n2).cast("bigint").alias("n2"), F.max(gaps).alias("d")
     )
-    size_term = F.sqrt(F.col("n1").cast("double") * F.col("n2") / (F.col("n1") + F.col("n2")))
-    return result.withColumn("p", kolmogorov_tail(size_term * F.col("d")))
+
+    # One row per cluster, in Arrow batches.
+    @F.pandas_udf("double")
+    def tail(first: pd.Series, second: pd.Series, gap: pd.Series) -> pd.Series:
+        return pd.Series([two_sample_tail(*row) for row in zip(first, second, gap)], dtype="float64")
+
+    return result.withColumn("p", tail("n1", "n2", "d"))
 
 
 TESTS = {"MWU": rank_sum_test, "KS2S": distribution_gap_test}
@@ -231,24 +240,6 @@ def distribution_test(
     return TESTS[method](values, targets)
 
 
-def _adjust_small(tests: DataFrame, p: str, family: list[str]) -> DataFrame:
-    """The same adjustment with plain windows, for a counted, small number of tests."""
-    upto = Window.partitionBy(*family).orderBy(p)
-    onward = Window.partitionBy(*family).orderBy(F.col(p).desc())
-    known = F.col(p).isNotNull()
-    raw = (
-        F.col(p)
-        * F.count(p).over(Window.partitionBy(*family))
-        / F.count(p).over(upto)
-    )
-    # Range frames: equal p-values share the largest rank and the smallest value.
-    return (
-        tests.withColumn("_raw", F.when(known, raw))
-        .withColumn("padj", F.when(known, F.least(F.lit(1.0), F.min("_raw").over(onward))))
-        .drop("_raw")
-    )
-
-
 def adjust_p(tests: DataFrame, p: str = "p", family: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg step-up adjustment inside each family; adds ``padj``.
 
@@ -257,13 +248,8 @@ def adjust_p(tests: DataFrame, p: str = "p", family: Sequence[str] = ()) -> Data
     and is carried over from the ranges above.
     """
     family = list(family)
-    # One small row per test, read several times below: write it once, count on the way.
-    seen = Observation()
-    tests = StageArea(tests.sparkSession, "tests").write(
-        tests.observe(seen, F.count(F.lit(1)).alias("n"))
-    )
-    if seen.get["n"] <= TESTS_IN_ONE_TASK:
-        return _adjust_small(tests, p, family)
+    # One small row per test, read several times below: write it once.
+    tests = StageArea(tests.sparkSession, "tests").write(tests)
     counts = value_counts(tests, p, family)
     bounds = range_bounds(tests, p)
     ranked = running_totals(counts, p, ["n"], family, bounds)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -10,8 +11,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from homologrid.functions.probability import kolmogorov_tail, two_sided_p
-from homologrid.operators import ordering, statistics
+from homologrid.functions import kolmogorov
+from homologrid.functions.probability import two_sided_p
+from homologrid.operators import statistics
 from tests.conftest import as_dict
 
 
@@ -82,15 +84,46 @@ def test_tail_probabilities(spark):
     table = spark.createDataFrame([(z,) for z in points], "z double")
     got = [r[0] for r in table.select(two_sided_p(F.col("z"))).collect()]
     assert got == pytest.approx([math.erfc(z / math.sqrt(2)) for z in points], rel=1e-9)
-    limit = table.select(kolmogorov_tail(F.lit(1.0)), kolmogorov_tail(F.lit(0.0))).first()
-    assert limit[0] == pytest.approx(0.26999967167735456)
-    assert limit[1] == 1.0
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_adjustment(spark, monkeypatch, limit):
-    monkeypatch.setattr(statistics, "TESTS_IN_ONE_TASK", limit)
-    monkeypatch.setattr(ordering, "ONE_RANGE_BYTES", limit)
+def largest_gap(order):
+    """D of two samples given as the pooled order of their members (1 for the first)."""
+    n1, n2 = sum(order), len(order) - sum(order)
+    return max(abs(sum(order[:k]) / n1 - (k - sum(order[:k])) / n2) for k in range(len(order) + 1))
+
+
+def test_kolmogorov_smirnov_p():
+    # All orders of two small samples.
+    for n1, n2 in ((3, 4), (5, 5), (6, 3), (4, 6)):
+        orders = [
+            [int(i in chosen) for i in range(n1 + n2)]
+            for chosen in itertools.combinations(range(n1 + n2), n1)
+        ]
+        gaps = [largest_gap(o) for o in orders]
+        for d in set(gaps):
+            share = sum(g >= d - 1e-12 for g in gaps) / len(gaps)
+            assert kolmogorov.two_sample_tail(n1, n2, d) == pytest.approx(share)
+    # The value that Marsaglia, Tsang and Wang print, and agreement of independent formulas.
+    assert 1 - kolmogorov._inside_exact(10, 0.274) == pytest.approx(1 - 0.6284796154565043)
+    for n, d in ((500, 0.05), (2000, 0.02)):
+        assert kolmogorov._inside_series(n, d) == pytest.approx(kolmogorov._inside_exact(n, d), abs=1e-7)
+    assert kolmogorov.one_sample_tail(3000, 0.03) == pytest.approx(
+        1 - kolmogorov._inside_series(3000, 0.03), rel=1e-4
+    )
+    assert kolmogorov.two_sample_tail(5, 5, 0.0) == 1.0
+
+
+def test_exact_rank_sums_with_a_large_second_sample():
+    # Counting by hand: one value among n has 2 (u + 1) / (n + 1) orders at least as extreme.
+    assert statistics.exact_rank_sum_tail(1, 50_000, 3) == pytest.approx(8 / 50_001)
+    for small in (2, 3):
+        ranks = [sum(c) - small * (small - 1) / 2 for c in itertools.combinations(range(small + 9), small)]
+        for u in range(0, 9 * small // 2):
+            want = 2 * sum(r <= u for r in ranks) / len(ranks)
+            assert statistics.exact_rank_sum_tail(small, 9, u) == pytest.approx(min(1.0, want))
+
+
+def test_adjustment(spark):
     table = spark.createDataFrame(
         [(0.01,), (0.04,), (0.03,), (0.005,)], "p double"
     )
@@ -132,9 +165,7 @@ def test_markers_and_empty_clusters(spark):
         statistics.distribution_test(values, ["nope"])
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 30])
-def test_row_order_and_ranges_do_not_matter(spark, monkeypatch, limit):
-    monkeypatch.setattr(ordering, "ONE_RANGE_BYTES", limit)
+def test_row_order_does_not_matter(spark):
     rng = np.random.default_rng(4)
     values = frame(spark, {c: rng.normal(i, 1, 50) for i, c in enumerate("abc")})
     shuffled = values.orderBy(F.rand(3)).repartition(5)

@@ -203,6 +203,29 @@ gaps AS (
          max(abs(fa - fb)) AS d FROM steps GROUP BY cluster)
 """
 
+# Lattice paths that stay inside the band, row by row: a point is reached from the point on
+# its left and the one below, so a row is the running sum of the row before, cut to the band.
+# Every step is divided by the number of orders so far, as a share of all orders.
+_PATHS = """
+bands AS (
+  SELECT cluster, n1, n2, CAST(round(d * n1 * n2) AS BIGINT) AS gap FROM gaps),
+paths AS (
+  SELECT cluster, n1, n2, gap, 0 AS i,
+         list_transform(generate_series(0, n2), lambda j: CASE WHEN j * n1 < gap THEN 1.0::DOUBLE ELSE 0.0 END) AS ways
+  FROM bands
+  UNION ALL
+  SELECT cluster, n1, n2, gap, i + 1,
+         list_transform(generate_series(0, n2), lambda j:
+           CASE WHEN abs((i + 1) * n2 - j * n1) < gap
+             THEN list_sum(ways[greatest(1, 1 + CAST(floor(((i + 1) * n2 - gap) / n1) + 1 AS BIGINT)):j + 1])
+                  * (i + 1.0) / (n2 + i + 1.0)
+             ELSE 0.0 END)
+  FROM paths WHERE i < n1),
+shares AS (
+  SELECT cluster, CASE WHEN gap = 0 THEN 0.0 ELSE ways[n2 + 1] END AS inside
+  FROM paths WHERE i = n1)
+"""
+
 ORACLES = {
     "mwu_by_cluster": f"""
 WITH {_QUANTITIES}, {_POOL_REST}, {_RANK_SUM}
@@ -216,13 +239,10 @@ SELECT cluster, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 2)
 WITH {_QUANTITIES}, {_POOL_REST}, {_GAPS}
 SELECT cluster, n1, n2, round(d, 8) AS d FROM gaps""",
     "ks_against_targets": f"""
-WITH {_BALANCES}, {_POOL_TARGETS}, {_GAPS}
+WITH RECURSIVE {_BALANCES}, {_POOL_TARGETS}, {_GAPS}, {_PATHS}
 SELECT cluster, n1, n2, round(d, 8) AS d,
-  round(CASE WHEN sqrt(n1 * n2 / (n1 + n2)) * d < 0.04 THEN 1.0 ELSE
-    greatest(0.0, least(1.0, 2 * list_sum(list_transform(generate_series(1, 100),
-      lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END)
-        * exp(-2.0 * k * k * (n1 * n2 / (n1 + n2)) * d * d))))) END, 8) AS p
-FROM gaps""",
+       round(greatest(0.0, 1 - inside), 8) AS p
+FROM gaps JOIN shares USING (cluster)""",
     "bh_fdr": """
 WITH raw AS (
   SELECT p_partkey, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS family,
