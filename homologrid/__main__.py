@@ -9,11 +9,13 @@ cluster start it with spark-submit; without a running session a local one is mad
 from __future__ import annotations
 
 import argparse
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from homologrid.functions.taxa import lineage_names
 from homologrid.functions.words import EXCLUDED_WORDS
 from homologrid.operators import (
     annotations,
@@ -21,20 +23,30 @@ from homologrid.operators import (
     features,
     hits,
     layout,
+    presentation,
     provenance,
     quality,
     reduction,
     similarity,
     statistics,
 )
+from homologrid.operators.ordering import with_scalars
 from homologrid.plans.clustering import communities_of_scores
-from homologrid.plans.settings import is_on
+from homologrid.plans.runs import Inputs, Run
+from homologrid.plans.settings import InputError, Settings, is_on
 from homologrid.sources import id_mapping, search_xml, structures, tabular, writers
 
 
 def _scores(spark: SparkSession, path: str) -> DataFrame:
-    """A matrix file (wide, with header) as a score table without its zeros."""
-    return tabular.read_matrix(spark, path).where(F.col("score") != 0)
+    """A matrix file (wide, with header) as a score table with few of its zeros.
+
+    Those of the first row and the first column stay, so that no protein is lost whose
+    scores are all 0.
+    """
+    cells = tabular.read_matrix(spark, path)
+    first = cells.agg(F.min("query").alias("_query"), F.min("target").alias("_target"))
+    kept = (F.col("score") != 0) | (F.col("query") == F.col("_query")) | (F.col("target") == F.col("_target"))
+    return with_scalars(cells, first).where(kept).drop("_query", "_target")
 
 
 def _features(spark: SparkSession, path: str, numbers: Sequence[str] = ()) -> DataFrame:
@@ -100,14 +112,10 @@ def structure_clusters(spark, args):
 
 
 def dim_reduction(spark, args):
-    scores = _scores(spark, args.input)
-    wanted = 2 if args.mode == "pca" else reduction.PRESTEP_COMPONENTS
-    reduced = reduction.score_components(scores, wanted, seed=args.random_state)
+    reduced = layout.score_layout(_scores(spark, args.input), args.mode, args.random_state, args.rounds)
     prefix, first = "PC", 0
     if args.mode != "pca":
-        plain = args.mode.removeprefix("pca_")
-        reduced = layout.reduce_dimensions(reduced, plain, args.random_state, vector="coords")
-        prefix, first = ("tSNE" if plain == "tsne" else "UMAP"), 1
+        prefix, first = ("tSNE" if args.mode.endswith("tsne") else "UMAP"), 1
     writers.write_table(reduction.coordinate_columns(reduced, prefix, 2, first), args.output)
 
 
@@ -207,6 +215,56 @@ def apply_coordinates(spark, args):
     writers.write_table(joined, args.output)
 
 
+def plot_points(spark, args):
+    """Plot-ready points from coordinates and features."""
+    rules = presentation.plotting_rules(args.taxon_focus, args.keyids or ())
+    coordinates = _features(spark, args.dimensions)
+    x, y = [c for c in coordinates.columns if c != "protid"][:2]
+    coordinates = coordinates.select(
+        "protid", F.col(f"`{x}`").cast("double").alias("_x"), F.col(f"`{y}`").cast("double").alias("_y")
+    )
+    table = features.attach_coordinates(coordinates, _features(spark, args.features, args.numbers))
+    if "Lineage" not in table.columns and "Taxonomic lineage" in table.columns:
+        table = table.withColumn("Lineage", lineage_names(F.col("`Taxonomic lineage`")))
+    writers.write_table(
+        presentation.plot_points(presentation.prepared(table, rules), rules, "_x", "_y"), args.output
+    )
+
+
+def _named_files(pairs: Sequence[str]) -> dict[str, str]:
+    """``key=path`` arguments by key."""
+    named = dict(pair.split("=", 1) for pair in pairs)
+    if len(named) < len(pairs):
+        raise InputError("a key protein is named twice")
+    return named
+
+
+def run(spark, args):
+    """One configured run, in either mode, with all its results as Parquet folders."""
+    changes = json.loads(spark.read.text(args.config, wholetext=True).first()["value"])
+    inputs = Inputs(
+        tabular.read_pair_scores(spark, args.scores),
+        _features(spark, args.metadata, ("Annotation", "Length")),
+        structures.read_structure_lines(spark, args.structures) if args.structures else None,
+        {
+            key: tabular.read_structure_hits(spark, path, with_position=True)
+            for key, path in _named_files(args.structure_hits).items()
+        },
+        {
+            key: tabular.read_sequence_hits(spark, path, with_position=True)
+            for key, path in _named_files(args.sequence_hits).items()
+        },
+        id_mapping.read_id_mapping(spark, args.id_mapping) if args.id_mapping else None,
+        cluster_members=tabular.read_cluster_members(spark, args.cluster_members)
+        if args.cluster_members
+        else None,
+        override=_features(spark, args.features_override_file) if args.features_override_file else None,
+    )
+    results = Run(spark, inputs, Settings().overlaid(changes), f"{args.folder}/stages").all()
+    for name, table in results.items():
+        table.write.mode("overwrite").parquet(f"{args.folder}/{name}")
+
+
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="homologrid", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -237,6 +295,7 @@ def build_parser() -> argparse.ArgumentParser:
     sub = command("reduce", dim_reduction, "input", "output")
     sub.add_argument("--mode", default="pca", choices=layout.MODES)
     sub.add_argument("--random-state", type=int, default=reduction.SEED)
+    sub.add_argument("--rounds", type=int, help="rounds of a layout, where not the usual number")
     sub = command("communities", leiden_clustering, "input", "output")
     sub.add_argument("--n-neighbors", type=int, default=10)
     sub.add_argument("--n-pcs", type=int, default=reduction.PRESTEP_COMPONENTS)
@@ -272,6 +331,17 @@ def build_parser() -> argparse.ArgumentParser:
     )
     sub.add_argument("--exclude-words", nargs="+", default=EXCLUDED_WORDS)
     command("apply-coordinates", apply_coordinates, "dimensions", "features", "output")
+    sub = command("plot-points", plot_points, "dimensions", "features", "output")
+    sub.add_argument("--keyids", nargs="*")
+    sub.add_argument("--taxon-focus", default="euk")
+    sub.add_argument("--numbers", nargs="*", default=("Annotation", "Length", "pdb_confidence"))
+    sub = command("run", run, "config", "folder", "metadata", many=["scores"])
+    sub.add_argument("--structures", nargs="*")
+    sub.add_argument("--structure-hits", nargs="*", default=(), metavar="KEY=PATH")
+    sub.add_argument("--sequence-hits", nargs="*", default=(), metavar="KEY=PATH")
+    sub.add_argument("--id-mapping")
+    sub.add_argument("--cluster-members")
+    sub.add_argument("--features-override-file")
     return parser
 
 

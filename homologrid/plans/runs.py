@@ -26,6 +26,7 @@ from homologrid.operators import (
     statistics,
 )
 from homologrid.operators.clusters import structure_clusters
+from homologrid.operators.layout import score_layout
 from homologrid.operators.presentation import plot_points, plotting_rules, prepared
 from homologrid.operators.reduction import score_components
 from homologrid.plans.clustering import communities_of_coordinates, covered_clusters
@@ -107,6 +108,10 @@ class Run:
         if self.settings.mode is Mode.CLUSTER:
             self._check_structures()
 
+    def _stage(self, name: str, build, *given: object) -> DataFrame:
+        """A stage of these settings and arguments; others have stages of their own."""
+        return self.stages.run(name, build, self.settings, *given)
+
     def _check_structures(self) -> None:
         known = self.inputs.scores.select(F.col("query").alias("protid")).distinct()
         keys = list(self.settings.key_proteins)
@@ -116,7 +121,7 @@ class Run:
         check_cluster_inputs(known.count(), [key for key in keys if key not in present])
 
     def hits(self) -> DataFrame:
-        return self.stages.run("hits", lambda: collected_hits(self.inputs, self.settings))
+        return self._stage("hits", lambda: collected_hits(self.inputs, self.settings))
 
     def proteins(self) -> DataFrame:
         """The proteins of the map."""
@@ -126,7 +131,7 @@ class Run:
                 return self.inputs.scores.select(F.col("query").alias("protid")).distinct()
             return chosen_proteins(self.hits(), self.inputs.metadata, self.settings)
 
-        return self.stages.run("proteins", build)
+        return self._stage("proteins", build)
 
     def scores(self) -> DataFrame:
         """Scores between proteins of the map, conflicts refused."""
@@ -140,22 +145,22 @@ class Run:
                 ids.select(F.col("protid").alias("query")), "query", "left_semi"
             ).join(ids.select(F.col("protid").alias("target")), "target", "left_semi")
 
-        return self.stages.run("scores", build)
+        return self._stage("scores", build)
 
     def components(self) -> DataFrame:
-        return self.stages.run(
+        return self._stage(
             "components", lambda: score_components(self.scores(), self.settings.components)
         )
 
     def communities(self) -> DataFrame:
-        return self.stages.run(
+        return self._stage(
             "communities",
             lambda: communities_of_coordinates(self.components(), self.settings.neighbours),
         )
 
     def structure_clusters(self) -> DataFrame:
         given = self.inputs.cluster_members
-        return self.stages.run(
+        return self._stage(
             "structure_clusters",
             lambda: covered_clusters(self.scores()) if given is None else structure_clusters(given),
         )
@@ -208,7 +213,7 @@ class Run:
                 merged = features.override_cells(merged, self.inputs.override)
             return merged
 
-        return self.stages.run("features", build)
+        return self._stage("features", build)
 
     def mapped_features(self) -> DataFrame:
         """Features of the proteins that are on the map."""
@@ -216,51 +221,65 @@ class Run:
 
     def layout(self, mode: str) -> DataFrame:
         def build() -> DataFrame:
-            # The components are already the pre-step of the two-step modes.
-            plain = mode.removeprefix("pca_")
-            source = self.components()
-            if plain == "pca":
-                return source.select("protid", F.slice("coords", 1, 2).alias("coords"))
-            return layout.reduce_dimensions(
-                source, plain, self.settings.seed, self.settings.layout_rounds, vector="coords"
+            if mode == "pca":
+                return self.components().select("protid", F.slice("coords", 1, 2).alias("coords"))
+            return score_layout(
+                self.scores(),
+                mode,
+                self.settings.seed,
+                self.settings.layout_rounds,
+                self.components() if mode.startswith("pca_") else None,
             )
 
-        return self.stages.run(f"layout_{mode}", build)
+        return self._stage(f"layout_{mode}", build)
 
     def block_similarity(self, column: str) -> DataFrame:
         groups = self.mapped_features().where(F.col(column).isNotNull()).select(
             "protid", F.col(column).alias("cluster")
         )
-        return self.stages.run(
+        return self._stage(
             f"blocks_{column}",
             lambda: similarity.block_similarity_of_scores(self.scores(), groups),
         )
 
-    def markers(self, columns: tuple[str, ...] = ("pdb_confidence", "Length")) -> DataFrame:
-        keys = list(self.settings.key_proteins)
-        scored = [f"{kind}_v_{key}" for key in keys for kind in ("TMscore", "fident")]
-        return self.stages.run(
-            "markers",
-            lambda: statistics.column_markers(
-                self.mapped_features(), "LeidenCluster", [*columns, *scored], keys or None
-            ),
-        )
+    def markers(
+        self, columns: tuple[str, ...] = ("pdb_confidence", "Annotation", "Length")
+    ) -> DataFrame:
+        """Markers of every cluster against the cluster of each key protein, one table per key.
+
+        Without key proteins every cluster is compared with the rest; ``key`` is null then.
+        """
+
+        def against(key: str | None) -> DataFrame:
+            scored = [f"{kind}_v_{key}" for kind in ("TMscore", "fident")] if key else []
+            found = statistics.column_markers(
+                self.mapped_features(), "LeidenCluster", [*columns, *scored], [key] if key else None
+            )
+            return found.withColumn("key", F.lit(key).cast("string"))
+
+        def build() -> DataFrame:
+            keys = list(self.settings.key_proteins) or [None]
+            return reduce(DataFrame.unionByName, [against(key) for key in keys])
+
+        return self._stage("markers", build, columns)
 
     def _notes(self, column: str) -> DataFrame:
         return self.mapped_features().select("LeidenCluster", F.col(f"`{column}`").alias("note"))
 
     def annotation_table(self, column: str = "Protein names") -> DataFrame:
-        return self.stages.run(
+        return self._stage(
             "annotations",
             lambda: annotations.top_annotations(
                 annotations.annotation_counts(self._notes(column), "LeidenCluster", "note")
             ),
+            column,
         )
 
     def word_table(self, column: str = "Protein names") -> DataFrame:
-        return self.stages.run(
+        return self._stage(
             "words",
             lambda: annotations.word_frequencies(self._notes(column), "LeidenCluster", "note"),
+            column,
         )
 
     def plot_table(self, mode: str) -> DataFrame:
@@ -278,7 +297,7 @@ class Run:
                 table = table.withColumn("Lineage", lineage_names(F.col("`Taxonomic lineage`")))
             return plot_points(prepared(table, rules), rules, "_x", "_y")
 
-        return self.stages.run(f"plot_{mode}", build)
+        return self._stage(f"plot_{mode}", build)
 
     def all(self) -> dict[str, DataFrame]:
         """Every result of the run."""

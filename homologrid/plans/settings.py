@@ -22,16 +22,22 @@ class InputError(ValueError):
 MIN_STRUCTURES = 10
 TRUE_WORDS = ("1", "true", "yes", "on")
 
+# Customary caps, for ``overlaid``.
+USUAL_CAPS = {"max_structure_hits": 3000, "max_sequence_hits": 3000, "max_structures": 5000}
+
 
 @dataclass(frozen=True)
 class Settings:
-    """The defaults of every setting."""
+    """Every setting with its default; a cap that is None keeps all rows.
+
+    The caps that an analysis usually names are in ``USUAL_CAPS``.
+    """
 
     mode: Mode = Mode.SEARCH
     analysis_name: str = "example"
-    max_structure_hits: int = 3000
-    max_sequence_hits: int = 3000
-    max_structures: int = 5000
+    max_structure_hits: int | None = None
+    max_sequence_hits: int | None = None
+    max_structures: int | None = None
     min_length: int = 0
     max_length: int = 0
     hit_evalue: float = 0.01

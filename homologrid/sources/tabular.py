@@ -30,10 +30,19 @@ def _typed_text(
     Casting after the null step keeps ``N/A`` in a number column from failing and
     lets a count written as ``375.0`` become an integer.
     """
+    raw = text_cells(spark.read, schema).csv(list(paths) if not isinstance(paths, str) else paths)
+    return typed_cells(raw, schema, with_position)
+
+
+def text_cells(reader, schema: T.StructType):
+    """A batch or stream reader set to headerless TSV with text columns only."""
     names = schema.fieldNames()
-    raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(
-        list(paths) if not isinstance(paths, str) else paths, sep="\t", quote=""
-    )
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return reader.schema(text).option("sep", "\t").option("quote", "")
+
+
+def typed_cells(raw: DataFrame, schema: T.StructType, with_position: bool = False) -> DataFrame:
+    """Text columns with missing cells nulled and the types of ``schema``."""
     cells: list[Column] = []
     for field in schema.fields:
         cell = F.when(~F.col(field.name).isin(MISSING_CELLS), F.col(field.name))

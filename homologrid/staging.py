@@ -9,6 +9,7 @@ and read back; nothing is kept only on an executor's own disk.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -90,8 +91,13 @@ class ResumableStages:
         fs = marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return bool(fs.exists(marker))
 
-    def run(self, name: str, build) -> DataFrame:
-        """Return stage ``name``, computing it with ``build()`` when it is missing."""
+    def run(self, name: str, build, *given: object) -> DataFrame:
+        """Return stage ``name``, computing it with ``build()`` when it is missing.
+
+        What the stage depends on besides its inputs is ``given``: another value is another stage.
+        """
+        if given:
+            name = f"{name}-{hashlib.sha256(repr(given).encode()).hexdigest()[:16]}"
         if not self.is_done(name):
             build().write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.parquet(self.path(name))

@@ -2,8 +2,9 @@
 
 The resume file of a batch run (what has been fetched stays fetched) as a stream:
 a file source finds new hit files, every micro-batch keeps the accessions the
-result table does not hold yet and appends them.  The checkpoint lives in the
-shared folder, and a replayed batch appends nothing twice.
+result table does not hold yet and appends them.  The checkpoint lies beside the result
+table, so the numbers of batches always belong to its partitions, and a replayed batch
+appends nothing twice.
 """
 
 from __future__ import annotations
@@ -13,16 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from homologrid.operators.hits import HIT_EVALUE, model_hits, pending_ids
-from homologrid.schemas import MISSING_CELLS, STRUCTURE_HITS
-from homologrid.staging import shared_folder
+from homologrid.schemas import STRUCTURE_HITS
+from homologrid.sources.tabular import text_cells, typed_cells
 
 PART_OF_BATCH = "batch"
 
 
 def stream_structure_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Structure-search hit files of a folder, as they arrive."""
-    raw = spark.readStream.schema(STRUCTURE_HITS).option("sep", "\t").option("quote", "")
-    return raw.option("nullValue", MISSING_CELLS[0]).csv(folder)
+    """Structure-search hit files of a folder, as they arrive, read like those of a batch."""
+    return typed_cells(text_cells(spark.readStream, STRUCTURE_HITS).csv(folder), STRUCTURE_HITS)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -56,13 +56,13 @@ def append_new(batch: DataFrame, number: int, path: str) -> None:
 
 
 def start_ingestion(
-    hits: DataFrame, path: str, name: str, max_evalue: float = HIT_EVALUE
+    hits: DataFrame, path: str, max_evalue: float = HIT_EVALUE
 ) -> StreamingQuery:
     """Run over all files present (and no longer), then stop; call again for new files."""
     kept = model_hits(hits.where(F.col("evalue") < max_evalue)).select("protid", "evalue")
     return (
         kept.writeStream.foreachBatch(lambda batch, number: append_new(batch, number, path))
-        .option("checkpointLocation", f"{shared_folder(hits.sparkSession)}/ingest-{name}")
+        .option("checkpointLocation", f"{path.rstrip('/')}.checkpoint")
         .trigger(availableNow=True)
         .start()
     )

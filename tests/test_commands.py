@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from homologrid.__main__ import main
+from homologrid.__main__ import _scores, main
+from homologrid.operators import layout
 from tests.test_sources import structure_row
 
 
@@ -101,3 +102,52 @@ def test_matrix_commands(spark, files):
     (files / "members.tsv").write_text("A.pdb\tA.pdb\nA.pdb\tB.pdb\nC.pdb\tC.pdb\n")
     main(["structure-clusters", "--input", path("members.tsv"), "--output", path("sc")], spark)
     assert {r["protid"]: r["StruCluster"] for r in table(spark, path("sc"))} == {"A": "SC0", "B": "SC0", "C": "SC1"}
+
+
+def test_rows_of_zeros_stay(spark, tmp_path):
+    (tmp_path / "matrix.tsv").write_text(
+        "protid\tA\tB\tC\tD\nA\t1.0\t0.5\t0.0\t0.0\nB\t0.5\t1.0\t0.0\t0.0\nC\t0.0\t0.0\t0.0\t0.0\n"
+    )
+    path = lambda name: str(tmp_path / name)
+    kept = _scores(spark, path("matrix.tsv")).collect()
+    assert {r["query"] for r in kept} == set("ABC") and {r["target"] for r in kept} == set("ABCD")
+    assert len(kept) < 12
+    main(["reduce", "--input", path("matrix.tsv"), "--output", path("pca")], spark)
+    assert {r["protid"] for r in table(spark, path("pca"))} == set("ABC")
+
+
+def test_plain_layouts_start_from_whole_rows(spark):
+    rows = [(q, t, 1.0 if q == t else 0.25) for q in "abcd" for t in "abcd" if q + t != "ad"]
+    scores = spark.createDataFrame(rows, "query string, target string, score double")
+    found = {r["protid"]: list(r["vector"]) for r in layout.dense_rows(scores).collect()}
+    assert found["a"] == [1.0, 0.25, 0.25, 0.0] and found["d"] == [0.25, 0.25, 0.25, 1.0]
+    started = []
+    try:
+        original, layout.reduce_dimensions = layout.reduce_dimensions, lambda rows, mode, *_, **__: started.append((mode, rows))
+        for mode in ("tsne", "pca_tsne"):
+            layout.score_layout(scores, mode)
+    finally:
+        layout.reduce_dimensions = original
+    (plain, whole), (two_step, components) = started
+    assert plain == two_step == "tsne"
+    assert "vector" in whole.columns and "coords" in components.columns
+
+
+def test_run_and_plot_points(spark, tmp_path):
+    path = lambda name: str(tmp_path / name)
+    names = [f"P{i:02d}" for i in range(12)]
+    (tmp_path / "scores.txt").write_text(
+        "".join(f"{q} {t} {1.0 if q == t else 0.2 + 0.5 * (i % 2 == j % 2)}\n" for i, q in enumerate(names) for j, t in enumerate(names))
+    )
+    (tmp_path / "features.tsv").write_text(
+        "protid\tProtein names\tAnnotation\tFragment\tLength\n"
+        + "".join(f"{n}\tkind {i % 2}\t5.0\t\t{100 + i}.0\n" for i, n in enumerate(names))
+    )
+    (tmp_path / "config.json").write_text('{"mode": "cluster", "key_proteins": ["P00"], "plotting_modes": ["pca"]}')
+    options = ["--config", path("config.json"), "--scores", path("scores.txt"), "--metadata", path("features.tsv")]
+    main(["run", *options, "--folder", path("out")], spark)
+    assert spark.read.parquet(path("out/features")).count() == 12
+    assert spark.read.parquet(path("out/plot_pca")).count() > 0
+    (tmp_path / "points.tsv").write_text("protid\tPC0\tPC1\n" + "".join(f"{n}\t{i}\t{-i}\n" for i, n in enumerate(names)))
+    main(["plot-points", "--dimensions", path("points.tsv"), "--features", path("features.tsv"), "--output", path("plot")], spark)
+    assert {r["protid"] for r in table(spark, path("plot"))} == set(names)

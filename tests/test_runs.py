@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 
 import numpy as np
@@ -86,10 +87,11 @@ def test_cluster_run(spark, folder):
     assert results["markers"].count() > 0
     assert results["words"].where("word = 'kinase'").count() >= 2
     # A second run reads the stages that are there.
-    written = os.path.getmtime(f"{folder}/features/_SUCCESS")
+    (marker,) = glob.glob(f"{folder}/features-*/_SUCCESS")
+    written = os.path.getmtime(marker)
     again = Run(spark, Inputs(scores(spark), metadata(spark)), settings, folder)
     assert again.features().count() == SIZE
-    assert os.path.getmtime(f"{folder}/features/_SUCCESS") == written
+    assert os.path.getmtime(marker) == written
 
 
 def test_search_run_features(spark, folder):
@@ -155,10 +157,8 @@ def test_ingestion_resumes(spark, tmp_path):
         )
         + "\n"
     )
-    name = f"t{os.getpid()}"
-
     def ingest():
-        start_ingestion(stream_structure_hits(spark, str(source)), target, name).awaitTermination()
+        start_ingestion(stream_structure_hits(spark, str(source)), target).awaitTermination()
         return {r["protid"]: r["evalue"] for r in spark.read.parquet(target).collect()}
 
     assert ingest() == {"P1": 1e-9}
@@ -167,6 +167,23 @@ def test_ingestion_resumes(spark, tmp_path):
     )
     assert ingest() == {"P1": 1e-9, "P3": 1e-7}
     assert ingest() == {"P1": 1e-9, "P3": 1e-7}
+    # Another session finds the checkpoint by the table, whatever its shared folder is.
+    (source / "c.m8").write_text(structure_row("AF-P4-F1-model_v4 x", 1e-7).replace("\t375\t", "\t375.0\t") + "\n")
+    other = spark.newSession()
+    start_ingestion(stream_structure_hits(other, str(source)), target).awaitTermination()
+    stored = spark.read.parquet(target)
+    assert {r["protid"] for r in stored.collect()} == {"P1", "P3", "P4"} and stored.count() == 3
+
+
+def test_stages_differ_by_what_they_are_given(spark, tmp_path):
+    stages = ResumableStages(spark, str(tmp_path / "stages"))
+    made = [stages.run("x", lambda n=n: spark.range(n), n) for n in (1, 2, 1)]
+    assert [m.count() for m in made] == [1, 2, 1]
+    run = Run(spark, Inputs(scores(spark), metadata(spark)), Settings(mode=Mode.CLUSTER, key_proteins=("P00", "P01")), str(tmp_path / "run"))
+    first = {r["feature"] for r in run.markers(("Length",)).collect()}
+    second = {r["feature"] for r in run.markers(("Annotation",)).collect()}
+    assert "Length" in first and "Annotation" in second and "Length" not in second
+    assert {r["key"] for r in run.markers(("Length",)).collect()} == {"P00", "P01"}
 
 
 def test_stages(spark, tmp_path):

@@ -11,19 +11,17 @@ from workload.tables import STRUCTURE_HITS_SQL, structure_hits, table
 
 
 def _assembled(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part").where(F.col("p_size") > 10)
-    base = part.select(F.col("p_partkey").alias("protid"), "p_name", "p_size")
+    """Whole tables whose keys differ: documents, their labels, vectors, pages and parts."""
+    documents = table(spark, folder, "documents")
+    base = documents.select(F.col("doc_id").alias("protid"), "lang", "n_chars")
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("protid"), "quality")
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("protid"), "label")
     lines = (
         table(spark, folder, "lineitem")
-        .where(F.col("l_discount") > 0.08)
         .groupBy(F.col("l_partkey").alias("protid"))
         .agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.avg("l_tax"), 6).alias("mean_tax"))
     )
-    expensive = table(spark, folder, "part").where(F.col("p_retailprice") > 1000)
-    prices = expensive.select(
-        F.col("p_partkey").alias("protid"), F.col("p_retailprice").alias("price")
-    )
-    return features.assemble_features([base, lines, prices])
+    return features.assemble_features([base, labels, vectors, lines])
 
 
 def feature_outer_merge(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,9 +35,9 @@ def feature_outer_merge_repeated(spark: SparkSession, folder: str) -> DataFrame:
     second = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("protid"), "c_mktsegment"
     )
-    third = orders.where(F.col("o_totalprice") > 400000).select(
-        F.col("o_custkey").alias("protid"), F.col("o_orderpriority").alias("priority")
-    )
+    third = table(spark, folder, "events").select(
+        F.col("user_id").alias("protid"), "event_type"
+    ).distinct()
     return features.assemble_features([first, second, third])
 
 
@@ -108,19 +106,19 @@ QUERIES = {
 
 ORACLES = {
     "feature_outer_merge": """
-WITH base AS (SELECT p_partkey AS protid, p_name, p_size FROM part WHERE p_size > 10),
+WITH base AS (SELECT doc_id AS protid, lang, n_chars FROM documents),
+marks AS (SELECT doc_id AS protid, quality FROM labels),
+vectors AS (SELECT vec_id AS protid, label FROM embeddings),
 lines AS (SELECT l_partkey AS protid, count(*) AS n_lines, round(avg(l_tax), 6) AS mean_tax
-          FROM lineitem WHERE l_discount > 0.08 GROUP BY 1),
-prices AS (SELECT p_partkey AS protid, p_retailprice AS price FROM part
-           WHERE p_retailprice > 1000)
-SELECT DISTINCT protid, p_name, p_size, n_lines, mean_tax, price
-FROM base FULL JOIN lines USING (protid) FULL JOIN prices USING (protid)""",
+          FROM lineitem GROUP BY 1)
+SELECT DISTINCT protid, lang, n_chars, quality, label, n_lines, mean_tax
+FROM base FULL JOIN marks USING (protid) FULL JOIN vectors USING (protid)
+  FULL JOIN lines USING (protid)""",
     "feature_outer_merge_repeated": """
 WITH a AS (SELECT o_custkey AS protid, o_orderstatus FROM orders),
 b AS (SELECT c_custkey AS protid, c_mktsegment FROM customer),
-c AS (SELECT o_custkey AS protid, o_orderpriority AS priority FROM orders
-      WHERE o_totalprice > 400000)
-SELECT DISTINCT protid, o_orderstatus, c_mktsegment, priority
+c AS (SELECT DISTINCT user_id AS protid, event_type FROM events)
+SELECT DISTINCT protid, o_orderstatus, c_mktsegment, event_type
 FROM a FULL JOIN b USING (protid) FULL JOIN c USING (protid)""",
     "feature_override": """
 WITH o AS (SELECT doc_id * 2 AS protid, CASE WHEN quality = 1 THEN 'xx' END AS lang,

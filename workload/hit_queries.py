@@ -43,9 +43,9 @@ def sequence_hit_accessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def hit_union_distinct(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("protid"))
-    rich = table(spark, folder, "customer").where(F.col("c_acctbal") > 5000)
+    users = table(spark, folder, "events").select(F.col("user_id").alias("protid"))
     suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("protid"))
-    return hits.union_ids([orders, rich.select(F.col("c_custkey").alias("protid")), suppliers])
+    return hits.union_ids([orders, users, suppliers])
 
 
 def hit_filter_nullsafe(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,10 +65,11 @@ def source_of_hits(spark: SparkSession, folder: str) -> DataFrame:
     key = F.when(
         F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(2)) == 0, "U1"
     ).otherwise("U10")
-    method = F.when(F.col("event_type") == "click", "blast").otherwise("foldseek")
-    found = events.where(
-        F.col("event_type").isin("click", "purchase") & (F.col("value") > 20)
-    ).select(F.col("user_id").alias("protid"), key.alias("key"), method.alias("method"))
+    method = F.when(F.col("event_type").isin("click", "view"), "blast").otherwise("foldseek")
+    found = events.select(F.col("user_id").alias("protid"), key.alias("key"), method.alias("method"))
+    # Parts are candidates too: most of them nobody has hit.
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("protid"))
+    proteins = proteins.union(parts)
     return provenance.hit_sources(proteins, found, ["U1", "U10"])
 
 
@@ -145,7 +146,7 @@ SELECT 'NP_' || CAST(l_partkey AS VARCHAR) AS sacc, min(l_orderkey) AS first_ord
 FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1""",
     "hit_union_distinct": """
 SELECT o_custkey AS protid FROM orders
-UNION SELECT c_custkey FROM customer WHERE c_acctbal > 5000
+UNION SELECT user_id FROM events
 UNION SELECT s_suppkey FROM supplier""",
     "hit_filter_nullsafe": f"""
 WITH {PART_FEATURES_SQL}
@@ -158,15 +159,15 @@ WITH found AS (
   SELECT user_id AS protid,
          CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0
               THEN 'U1' ELSE 'U10' END AS key,
-         CASE WHEN event_type = 'click' THEN 'blast' ELSE 'foldseek' END AS method
-  FROM events WHERE event_type IN ('click', 'purchase') AND value > 20),
+         CASE WHEN event_type IN ('click', 'view') THEN 'blast' ELSE 'foldseek' END AS method
+  FROM events),
 flags AS (
   SELECT p.protid,
     CAST(EXISTS (SELECT 1 FROM found f WHERE f.protid = p.protid AND key = 'U1' AND method = 'blast') AS INTEGER) AS "U1_blast",
     CAST(EXISTS (SELECT 1 FROM found f WHERE f.protid = p.protid AND key = 'U1' AND method = 'foldseek') AS INTEGER) AS "U1_foldseek",
     CAST(EXISTS (SELECT 1 FROM found f WHERE f.protid = p.protid AND key = 'U10' AND method = 'blast') AS INTEGER) AS "U10_blast",
     CAST(EXISTS (SELECT 1 FROM found f WHERE f.protid = p.protid AND key = 'U10' AND method = 'foldseek') AS INTEGER) AS "U10_foldseek"
-  FROM (SELECT DISTINCT user_id AS protid FROM events) p),
+  FROM (SELECT user_id AS protid FROM events UNION SELECT p_partkey FROM part) p),
 sums AS (
   SELECT *, greatest("U1_blast", "U10_blast") AS blast,
             greatest("U1_foldseek", "U10_foldseek") AS foldseek FROM flags)

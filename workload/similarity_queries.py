@@ -87,7 +87,6 @@ def similarity_pivot(spark: SparkSession, folder: str) -> DataFrame:
     """Mean order price of (nation, segment), wide and zero-filled."""
     scores = (
         table(spark, folder, "customer")
-        .where(F.col("c_acctbal") > 8000)
         .groupBy(F.col("c_nationkey").alias("query"), F.col("c_mktsegment").alias("target"))
         .agg(F.round(F.avg("c_acctbal"), 4).alias("score"))
     )
@@ -145,7 +144,7 @@ pairs AS (
 _PIVOT = """
 cells AS (
   SELECT c_nationkey, c_mktsegment, round(avg(c_acctbal), 4) AS score
-  FROM customer WHERE c_acctbal > 8000 GROUP BY 1, 2
+  FROM customer GROUP BY 1, 2
 )
 """
 
