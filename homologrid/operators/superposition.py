@@ -1,29 +1,17 @@
-"""TM-scores of aligned structure pairs: sums in Spark, tiny rotations in Arrow batches.
-
-The superposition of a pair depends on 16 sums over its aligned residues, which
-combine before the shuffle; only those sums meet the 3 x 3 decomposition.
+"""TM-scores of aligned structure pairs: one shuffle brings a pair's residues together,
+small numpy steps fit them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from homologrid.staging import StageArea
-
 _AXES = ("x", "y", "z")
 
 
-def length_scale(length: Column) -> Column:
-    """Distance scale of the published score, at least 0.5."""
-    grown = F.lit(1.24) * F.pow(F.greatest(length - 15, F.lit(0)), F.lit(1 / 3)) - 1.8
-    return F.greatest(grown, F.lit(0.5))
-
-
 def alpha_carbons(atoms: DataFrame) -> DataFrame:
     """``protid, residue, x, y, z``: the first alpha carbon of every residue."""
     spot = F.struct("line_no", "X", "Y", "Z")
@@ -61,79 +49,66 @@ def index_aligned(pairs: DataFrame, carbons: DataFrame) -> DataFrame:
     )
 
 
-def _rotations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Best rotation and shift of every pair from its weighted sums."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-
-        def read(name: str) -> np.ndarray:
-            return batch.column(batch.schema.get_field_index(name)).to_numpy()
-
-        weight = read("w")
-        q = np.stack([read(f"q{a}") for a in _AXES], axis=1) / weight[:, None]
-        t = np.stack([read(f"t{a}") for a in _AXES], axis=1) / weight[:, None]
-        cross = np.stack([read(f"c{a}{b}") for a in _AXES for b in _AXES], axis=1).reshape(-1, 3, 3)
-        cross = cross / weight[:, None, None] - q[:, :, None] * t[:, None, :]
-        u, _, vt = np.linalg.svd(cross)
-        flip = np.sign(np.linalg.det(u) * np.linalg.det(vt))
-        u[:, :, 2] *= flip[:, None]
-        rotation = u @ vt
-        shift = t - np.einsum("ni,nij->nj", q, rotation)
-        names = [f"r{i}{j}" for i in range(3) for j in range(3)] + [f"s{j}" for j in range(3)]
-        values = [rotation[:, i, j] for i in range(3) for j in range(3)]
-        values += [shift[:, j] for j in range(3)]
-        keys = [batch.column(batch.schema.get_field_index(k)) for k in ("query", "target")]
-        yield pa.RecordBatch.from_arrays(
-            [*keys, *[pa.array(v) for v in values]], names=["query", "target", *names]
-        )
+# A fit ends when the score of a pair grows by less; a fit that never ends is an error.
+TOLERANCE = 1e-9
+MOST_STEPS = 10_000
+# Shares of the aligned residues that a start covers, and its shortest length.
+START_SHARES = (1.0, 0.5, 0.25)
+SHORTEST_START = 4
+
+
+def _fitted(q: np.ndarray, t: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Squared distances after the best weighted superposition of ``q`` onto ``t``."""
+    total = weight.sum()
+    q_mean, t_mean = weight @ q / total, weight @ t / total
+    u, _, vt = np.linalg.svd(((q - q_mean) * weight[:, None]).T @ (t - t_mean))
+    u[:, 2] *= np.sign(np.linalg.det(u) * np.linalg.det(vt))
+    return (((q - q_mean) @ (u @ vt) - (t - t_mean)) ** 2).sum(axis=1)
+
 
+def _refined(q: np.ndarray, t: np.ndarray, weight: np.ndarray, scale: float) -> float:
+    """The score from one start: residues are weighed by their share until nothing is gained."""
+    best = -1.0
+    for _ in range(MOST_STEPS):
+        share = 1 / (1 + _fitted(q, t, weight) / scale**2)
+        if share.sum() <= best + TOLERANCE:
+            return max(best, float(share.sum()))
+        best, weight = float(share.sum()), share**2
+    raise RuntimeError("a superposition did not converge")
 
-def tm_scores(aligned: DataFrame, rounds: int = 3) -> DataFrame:
+
+def best_score(q: np.ndarray, t: np.ndarray, length: int) -> float:
+    """Score of aligned residues over a target of ``length``: the best of all starts.
+
+    Starts are the whole alignment and its halves and quarters, each overlapping the next.
+    """
+    scale = max(0.5, 1.24 * max(length - 15, 0) ** (1 / 3) - 1.8)
+    n, found = len(q), 0.0
+    for share in START_SHARES:
+        size = max(min(n, SHORTEST_START), int(n * share))
+        for first in sorted({*range(0, n - size + 1, max(1, size // 2)), n - size}):
+            weight = np.zeros(n)
+            weight[first : first + size] = 1.0
+            found = max(found, _refined(q, t, weight, scale))
+    return found / length
+
+
+def _pair_score(key: tuple, rows: pa.Table) -> pa.Table:
+    # In the order of the residues, whatever order the shuffle brought them in.
+    residues = [str(r) for r in rows["residue"].to_pylist()]
+    order = sorted(range(len(residues)), key=lambda i: (len(residues[i]), residues[i]))
+    q, t = (np.stack([rows[f"{s}{a}"].to_numpy() for a in _AXES], axis=1)[order] for s in "qt")
+    score = best_score(q, t, rows["length"][0].as_py())
+    return pa.table({"query": [key[0].as_py()], "target": [key[1].as_py()], "score": [score]})
+
+
+def tm_scores(aligned: DataFrame) -> DataFrame:
     """``query, target, score`` of aligned residues, per target length.
 
-    The first superposition weighs all residues alike; every further round weighs
-    them by their share in the score, which can only raise it.
+    A pair's residues, at most the length of a protein, meet in one task, which runs every
+    start to convergence; pairs are spread over all tasks by one shuffle.
     """
-    area = StageArea(aligned.sparkSession, "superposition")
-    aligned = area.write(aligned, "aligned")
     kinds = {name: aligned.schema[name].dataType.simpleString() for name in ("query", "target")}
-    numbers = [f"r{i}{j}" for i in range(3) for j in range(3)] + [f"s{j}" for j in range(3)]
-    schema = ", ".join(
-        [f"{n} {k}" for n, k in kinds.items()] + [f"{name} double" for name in numbers]
-    )
-    moved = [
-        sum(
-            (F.col(f"q{a}") * F.col(f"r{i}{j}") for i, a in enumerate(_AXES)),
-            F.col(f"s{j}"),
-        )
-        for j in range(3)
-    ]
-    square = sum(
-        ((m - F.col(f"t{a}")) * (m - F.col(f"t{a}")) for m, a in zip(moved, _AXES)), F.lit(0.0)
-    )
-    scale = length_scale(F.col("length"))
-    share = 1.0 / (1.0 + square / (scale * scale))
-    weighted = aligned.withColumn("w", F.lit(1.0))
-    fits = None
-    for number in range(max(1, rounds)):
-        sums = weighted.groupBy("query", "target").agg(
-            F.sum("w").alias("w"),
-            *[F.sum(F.col("w") * F.col(f"{s}{a}")).alias(f"{s}{a}") for s in "qt" for a in _AXES],
-            *[
-                F.sum(F.col("w") * F.col(f"q{a}") * F.col(f"t{b}")).alias(f"c{a}{b}")
-                for a in _AXES
-                for b in _AXES
-            ],
-        )
-        fits = area.write(sums.mapInArrow(_rotations, schema), f"fit{number}")
-        weighted = (
-            aligned.join(fits, ["query", "target"])
-            .withColumn("w", share * share)
-            .select(*aligned.columns, "w")
-        )
-    return (
-        aligned.join(fits, ["query", "target"])
-        .groupBy("query", "target")
-        .agg((F.sum(share) / F.max("length")).alias("score"))
+    return aligned.groupBy("query", "target").applyInArrow(
+        _pair_score, f"query {kinds['query']}, target {kinds['target']}, score double"
     )

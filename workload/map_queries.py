@@ -104,7 +104,7 @@ def score_table_pca(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy(F.col("o_custkey").alias("query"), F.col("l_suppkey").alias("target"))
         .agg(F.max("l_quantity").alias("score"))
     )
-    reduced = reduction.score_components(scores, 2, extra=6, passes=2)
+    reduced = reduction.score_components(scores, 2, extra=30)
     return reduction.coordinate_columns(reduced, "PC", 2)
 
 
@@ -131,7 +131,7 @@ def structure_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
         ],
     )
     pairs = neighbour_rows(neighbour_lists(vectors, 5)).select("query", "target")
-    return superposition.tm_scores(superposition.index_aligned(pairs, carbons), rounds=2)
+    return superposition.tm_scores(superposition.index_aligned(pairs, carbons))
 
 
 QUERIES = {
