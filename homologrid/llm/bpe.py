@@ -22,8 +22,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,12 +32,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homologrid.llm.common import documents, extended, free_names, kept_by_worker, text_bytes
+from homologrid.llm.common import bounded_batches, documents, extended, free_names, kept_by_worker, text_bytes
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Bytes of text taken together, and slices kept with their ids per worker.
 BATCH_BYTES = 1 << 20
-CACHE_SLICES = 300_000
+CACHE_SLICES = 200_000
 # Slices longer than this are merged on their own.
 LONG_SLICE = 128
 
@@ -125,6 +125,12 @@ def _code_points(data: np.ndarray, leads: np.ndarray) -> np.ndarray:
     return first
 
 
+def _one_of(states: np.ndarray, *wanted: int) -> np.ndarray:
+    table = np.zeros(STATES, bool)
+    table[list(wanted)] = True
+    return table[states]
+
+
 def slice_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     """Byte offsets where pre-tokens start; ``text_starts`` are the offsets of the texts in ``data``.
 
@@ -146,10 +152,10 @@ def slice_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     in_blanks = (before == IN_BLANKS) | (before == AFTER_SPACE)
     start = (before == CLOSED) & (classes != END)
     # Runs of one kind go on; the space in front of them belongs to them.
-    start |= letter & ~np.isin(before, (IN_LETTERS, AFTER_SPACE, QUOTED, HALF_L, HALF_RV))
-    start |= (classes == NUMBER) & ~np.isin(before, (IN_NUMBERS, AFTER_SPACE))
+    start |= letter & ~_one_of(before, IN_LETTERS, AFTER_SPACE, QUOTED, HALF_L, HALF_RV)
+    start |= (classes == NUMBER) & ~_one_of(before, IN_NUMBERS, AFTER_SPACE)
     others = (classes == OTHER) | (classes == QUOTE)
-    start |= others & ~np.isin(before, (IN_OTHERS, AFTER_SPACE, QUOTED))
+    start |= others & ~_one_of(before, IN_OTHERS, AFTER_SPACE, QUOTED)
     # White space is one token but for its last character, if something follows.
     more = np.append(blank[1:], False)
     last = ~more & (behind != END)
@@ -158,7 +164,7 @@ def slice_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     first_letter = letter & (before == QUOTED)
     closed_later = np.append(states[1:], CLOSED) == CLOSED
     follows = np.append(classes[1:] != END, False)
-    completes = (states == CLOSED) | (np.isin(states, (HALF_L, HALF_RV)) & closed_later & follows)
+    completes = (states == CLOSED) | (_one_of(states, HALF_L, HALF_RV) & closed_later & follows)
     start |= first_letter & ~completes
     # A half contraction that was not completed has started its letters already.
     return places[start]
@@ -174,18 +180,20 @@ class Ranks:
         for token, number in self.ids.items():
             self.bytes[number] = token
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
-        self.pairs: dict[tuple[int, int], int] = {}
-        for token, number in self.ids.items():
-            for cut in range(1, len(token)):
-                left, right = self.ids.get(token[:cut]), self.ids.get(token[cut:])
-                if left is not None and right is not None:
-                    self.pairs[left, right] = number
-        # The same pairs in open addressing, for whole arrays of keys.
-        self.mask = (1 << 21) - 1
+        pairs = [
+            (left << 32 | right, number)
+            for token, number in self.ids.items()
+            for cut in range(1, len(token))
+            if (left := self.ids.get(token[:cut])) is not None
+            and (right := self.ids.get(token[cut:])) is not None
+        ]
+        keys, merged = np.array(pairs, np.int64).T
+        del pairs
+        # Open addressing, for whole arrays of keys.
+        self.bits = int(2 * len(keys)).bit_length()
+        self.mask = (1 << self.bits) - 1
         self.keys = np.full(self.mask + 1, -1, np.int64)
         self.merged = np.full(self.mask + 1, NO_MERGE, np.int64)
-        keys = np.array([a << 32 | b for a, b in self.pairs], np.int64)
-        merged = np.array(list(self.pairs.values()), np.int64)
         at = self._home(keys)
         left = np.arange(len(keys))
         while len(left):
@@ -198,7 +206,7 @@ class Ranks:
             at[left] = (at[left] + 1) & self.mask
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        mixed = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
+        mixed = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
         return mixed.astype(np.int64)
 
     def merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -215,13 +223,22 @@ class Ranks:
             at[open_] = (at[open_] + 1) & self.mask
         return out
 
-    def merge_one(self, piece: bytes) -> list[int]:
+    def merge_one(self, piece: bytes) -> bytes:
         """A single long slice: a heap of candidate merges over a linked list."""
         ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = self.pairs.get
-        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1]))) is not None]
+        given = np.array(ids, np.int64)
+        first = self.merge_of(given[:-1], given[1:])
+        known: dict[tuple[int, int], int] = {}
+
+        def merged_of(left: int, right: int) -> int:
+            if (left, right) not in known:
+                one = self.merge_of(np.array([left]), np.array([right]))
+                known[left, right] = int(one[0])
+            return known[left, right]
+
+        heap = [(m, i, ids[i], ids[i + 1]) for i, m in enumerate(first.tolist()) if m != NO_MERGE]
         heapq.heapify(heap)
         while heap:
             merged, i, left, right = heapq.heappop(heap)
@@ -232,13 +249,13 @@ class Ranks:
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (m := get((merged, ids[after[i]]))) is not None:
+                if (m := merged_of(merged, ids[after[i]])) != NO_MERGE:
                     heapq.heappush(heap, (m, i, merged, ids[after[i]]))
-            if (k := before[i]) >= 0 and (m := get((ids[k], merged))) is not None:
+            if (k := before[i]) >= 0 and (m := merged_of(ids[k], merged)) != NO_MERGE:
                 heapq.heappush(heap, (m, k, ids[k], merged))
-        return [x for x in ids if x >= 0]
+        return np.array([x for x in ids if x >= 0], np.uint32).tobytes()
 
-    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
         """All slices at once: every step makes the best merge of each slice."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -281,11 +298,9 @@ class Ranks:
         every = np.concatenate([i for _, i in finished])
         order = np.argsort(owners, kind="stable")
         counts = np.bincount(owners, minlength=len(pieces))
-        flat, out, at = every[order].tolist(), [], 0
-        for count in counts.tolist():
-            out.append(flat[at : at + count])
-            at += count
-        return out
+        flat = every[order].astype(np.uint32).tobytes()
+        ends = np.cumsum(counts) * 4
+        return [flat[a:b] for a, b in zip((ends - counts * 4).tolist(), ends.tolist())]
 
 
 NO_MERGE = 1 << 40
@@ -296,23 +311,24 @@ class Encoder:
 
     def __init__(self, path: str):
         self.ranks = Ranks(path)
-        self.cache: dict[bytes, list[int]] = {}
+        # Slices and their ids, 32 bits each.
+        self.cache: dict[bytes, bytes] = {}
 
-    def _fill(self, pieces: set[bytes]) -> None:
-        if len(self.cache) + len(pieces) > CACHE_SLICES:
-            self.cache.clear()
-        cache, whole = self.cache, self.ranks.ids
-        short = []
+    def _encoded(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of slices that the cache lacks."""
+        new: dict[bytes, bytes] = {}
+        whole, short = self.ranks.ids, []
         for piece in pieces:
             number = whole.get(piece)
             if number is not None:
-                cache[piece] = [number]
+                new[piece] = number.to_bytes(4, sys.byteorder)
             elif len(piece) > LONG_SLICE:
-                cache[piece] = self.ranks.merge_one(piece)
+                new[piece] = self.ranks.merge_one(piece)
             else:
                 short.append(piece)
         if short:
-            cache.update(zip(short, self.ranks.merge_many(short)))
+            new.update(zip(short, self.ranks.merge_many(short)))
+        return new
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the number of ids of each text, and the byte offset of each id in its text."""
@@ -324,16 +340,19 @@ class Encoder:
         starts = slice_starts(np.frombuffer(joined, np.uint8), text_starts)
         ends = np.append(starts[1:], len(joined))
         pieces = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        distinct = set(pieces)
-        missing = distinct.difference(self.cache)
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_SLICES:
-                missing = distinct
-            self._fill(missing)
-        cache = self.cache
-        found = [cache[p] for p in pieces]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
+        found = list(map(self.cache.get, pieces))
+        absent = [i for i, f in enumerate(found) if f is None]
+        if absent:
+            new = self._encoded({pieces[i] for i in absent})
+            for i in absent:
+                found[i] = new[pieces[i]]
+            if len(self.cache) + len(new) > CACHE_SLICES:
+                # Full: only what these texts use is kept.
+                self.cache = dict(zip(pieces, found))
+            else:
+                self.cache.update(new)
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), np.uint32)
         first = np.searchsorted(starts, text_starts)
         # Slices of text i: first[i] up to the first slice of the next text.
         upto = np.append(first[1:], len(starts))
@@ -377,6 +396,7 @@ def encoded(
     """All columns of ``docs`` with the ids of the text and the byte offset of each id."""
     path = path or public_tokenizers.path(RANKS)
     columns = docs.columns
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -423,6 +443,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     """Per row: number of ids, SHA-256 of the ids (little-endian, 32 bits) and of the decoded bytes."""
     path = path or public_tokenizers.path(RANKS)
     kind = dict(docs.dtypes)[key]
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homologrid.llm.common import (
+    bounded_batches,
     documents,
     extended,
     free_names,
@@ -45,7 +46,7 @@ from homologrid.llm.common import (
 )
 from homologrid.staging import StageArea
 
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 FAN_OUT_BITS = 4
 # What an entry takes besides its content.
 ENTRY_BYTES = 200
@@ -288,6 +289,7 @@ class ExactDedup:
         self, docs: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES
     ):
         spark = docs.sparkSession
+        bounded_batches(spark)
         area = StageArea(spark, "exact-dedup")
         self.columns, self.id = docs.columns, key
         inner = dict(

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from homologrid.llm.common import documents, extended, free_names, quoted
+from homologrid.llm.common import bounded_batches, documents, extended, free_names, quoted
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 12
@@ -176,6 +176,7 @@ def train(
     per_language: int = PER_LANGUAGE,
 ) -> Model | None:
     """A model from at most ``per_language`` rows of each language; None without any."""
+    bounded_batches(docs.sparkSession)
     labelled = docs.select(
         F.col(quoted(key)).alias("id"),
         F.col(quoted(language)).alias("label"),
@@ -225,6 +226,7 @@ def _smallest(marked: DataFrame, most: int) -> DataFrame:
 def with_language(docs: DataFrame, model: Model | None, text: str = "text", into=("lang_pred", "score")) -> DataFrame:
     """All columns of ``docs`` with the predicted language and its score."""
     columns = docs.columns
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

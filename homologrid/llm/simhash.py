@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homologrid.llm.common import documents, extended, free_names, quoted, text_bytes, width
+from homologrid.llm.common import bounded_batches, documents, extended, free_names, quoted, text_bytes
 from homologrid.llm.components import components
 from homologrid.staging import StageArea
 
@@ -75,6 +75,7 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 def with_fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
     """All columns of ``docs`` and a signed 64-bit fingerprint."""
     columns = docs.columns
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

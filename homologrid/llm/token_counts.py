@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homologrid.llm.chunks import chunk_encoder, parts
-from homologrid.llm.common import documents, quoted, text_bytes
+from homologrid.llm.common import bounded_batches, documents, quoted, text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 RULES = ("first", "last", "most")
@@ -87,6 +87,7 @@ def section_counts(
         raise ValueError(f"no rule {rule!r}; there are {RULES}")
     path = path or public_tokenizers.path(VOCABULARY)
     kind = dict(docs.dtypes)[key]
+    bounded_batches(docs.sparkSession)
     spans = F.col(quoted(sections)) if sections else F.lit(None).cast("array<struct<start:int,end:int>>")
     thin = docs.select(F.col(quoted(key)).alias("id"), F.col(quoted(text)).alias("text"), spans.alias("spans"))
 
