@@ -50,47 +50,48 @@ def index_aligned(pairs: DataFrame, carbons: DataFrame) -> DataFrame:
 
 
 # A fit ends when the score of a pair grows by less; a fit that never ends is an error.
-TOLERANCE = 1e-9
+TOLERANCE = 1e-6
 MOST_STEPS = 10_000
 # Shares of the aligned residues that a start covers, and its shortest length.
 START_SHARES = (1.0, 0.5, 0.25)
 SHORTEST_START = 4
 
 
-def _fitted(q: np.ndarray, t: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Squared distances after the best weighted superposition of ``q`` onto ``t``."""
-    total = weight.sum()
-    q_mean, t_mean = weight @ q / total, weight @ t / total
-    u, _, vt = np.linalg.svd(((q - q_mean) * weight[:, None]).T @ (t - t_mean))
-    u[:, 2] *= np.sign(np.linalg.det(u) * np.linalg.det(vt))
-    return (((q - q_mean) @ (u @ vt) - (t - t_mean)) ** 2).sum(axis=1)
-
-
-def _refined(q: np.ndarray, t: np.ndarray, weight: np.ndarray, scale: float) -> float:
-    """The score from one start: residues are weighed by their share until nothing is gained."""
-    best = -1.0
-    for _ in range(MOST_STEPS):
-        share = 1 / (1 + _fitted(q, t, weight) / scale**2)
-        if share.sum() <= best + TOLERANCE:
-            return max(best, float(share.sum()))
-        best, weight = float(share.sum()), share**2
-    raise RuntimeError("a superposition did not converge")
+def _shares(q: np.ndarray, t: np.ndarray, weights: np.ndarray, scale: float) -> np.ndarray:
+    """Per row of ``weights``, the residues' shares in the score after its best superposition."""
+    total = weights.sum(axis=1)[:, None]
+    q_mean, t_mean = weights @ q / total, weights @ t / total
+    own, other = q[None] - q_mean[:, None], t[None] - t_mean[:, None]
+    u, _, vt = np.linalg.svd(np.einsum("sn,sni,snj->sij", weights, own, other))
+    u[:, :, 2] *= np.sign(np.linalg.det(u) * np.linalg.det(vt))[:, None]
+    distances = ((own @ (u @ vt) - other) ** 2).sum(axis=2)
+    return 1 / (1 + distances / scale**2)
 
 
 def best_score(q: np.ndarray, t: np.ndarray, length: int) -> float:
     """Score of aligned residues over a target of ``length``: the best of all starts.
 
     Starts are the whole alignment and its halves and quarters, each overlapping the next.
+    From each, residues are weighed by their shares until nothing is gained.
     """
     scale = max(0.5, 1.24 * max(length - 15, 0) ** (1 / 3) - 1.8)
-    n, found = len(q), 0.0
+    n = len(q)
+    starts = set()
     for share in START_SHARES:
         size = max(min(n, SHORTEST_START), int(n * share))
-        for first in sorted({*range(0, n - size + 1, max(1, size // 2)), n - size}):
-            weight = np.zeros(n)
-            weight[first : first + size] = 1.0
-            found = max(found, _refined(q, t, weight, scale))
-    return found / length
+        starts |= {(first, size) for first in (*range(0, n - size + 1, max(1, size // 2)), n - size)}
+    places = np.arange(n)
+    weights = np.array([(places >= f) & (places < f + size) for f, size in sorted(starts)], float)
+    found, best = 0.0, np.full(len(weights), -1.0)
+    for _ in range(MOST_STEPS):
+        shares = _shares(q, t, weights, scale)
+        scores = shares.sum(axis=1)
+        found = max(found, float(scores.max()))
+        going = scores > best + TOLERANCE
+        if not going.any():
+            return found / length
+        best, weights = scores[going], shares[going] ** 2
+    raise RuntimeError("a superposition did not converge")
 
 
 def _pair_score(key: tuple, rows: pa.Table) -> pa.Table:
