@@ -1,7 +1,8 @@
 """Whole texts through the tokenizers library, cut where no pre-token can cross.
 
 A space or newline right after a printable character always starts a pre-token of the
-byte-level pattern, whatever stands around it.  Texts are cut there, equal chunks are
+byte-level pattern, whatever stands around it; so does plain punctuation after a letter or digit,
+and a letter or digit after plain punctuation.  Texts are cut there, equal chunks are
 encoded once and kept in a bounded cache, and the ids of a text are those of its chunks in a row:
 exactly the ids of the whole text.
 """
@@ -9,6 +10,7 @@ exactly the ids of the whole text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -16,7 +18,19 @@ from tokenizers import Tokenizer
 from homologrid.llm.common import kept_by_worker
 
 BATCH_BYTES = 1 << 20
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
+
+
+def _ascii_kinds() -> np.ndarray:
+    """1 for ASCII letters and digits, 2 for ASCII punctuation but for the apostrophe, else 0."""
+    kinds = np.zeros(256, np.uint8)
+    for code in range(0x21, 0x7F):
+        kinds[code] = 1 if chr(code).isalnum() else 2
+    kinds[ord("'")] = 0
+    return kinds
+
+
+ASCII_KINDS = _ascii_kinds()
 
 
 def cut(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
@@ -26,8 +40,15 @@ def cut(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     # The second byte of a two-byte letter; white space of that length has a smaller lead.
     second = np.zeros(len(data), bool)
     second[1:] = (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
+    kind = ASCII_KINDS[data]
+    word, mark = kind == 1, kind == 2
+    # Letters of two bytes that are surely letters: the signs at 0x97 and 0xB7 are not.
+    latin = np.zeros(len(data), bool)
+    latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
     start = np.zeros(len(data), bool)
     start[1:] = blank[1:] & (printable | second)[:-1]
+    start[1:] |= mark[1:] & (word | latin)[:-1]
+    start[1:] |= word[1:] & mark[:-1]
     start[text_starts[text_starts < len(data)]] = True
     return np.flatnonzero(start)
 
@@ -63,10 +84,17 @@ class ChunkEncoder:
             return [
                 (len(t), np.array(e.offsets, np.int32).reshape(-1, 2)) for t, e in zip(texts, every)
             ]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        every = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, every), np.int64, len(every))) * 4
+        flat = np.fromiter(chain.from_iterable(every), np.uint32, int(ends[-1]) // 4).tobytes()
+        ends = ends.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def chunks(self, texts: list[bytes]) -> tuple[list, np.ndarray]:
-        """What each chunk is encoded to, and the number of chunks of every text."""
+        """What each chunk is encoded to, and the number of chunks of every text.
+
+        Ids are the bytes of 32-bit numbers; with offsets, see ``_encode``.
+        """
         joined = b"".join(texts)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         text_starts = np.cumsum(lengths) - lengths
@@ -75,17 +103,20 @@ class ChunkEncoder:
         starts = cut(np.frombuffer(joined, np.uint8), text_starts)
         ends = np.append(starts[1:], len(joined))
         pieces = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        distinct = set(pieces)
-        missing = distinct.difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_CHUNKS:
-            self.cache.clear()
-            missing = distinct
-        if missing:
-            wanted = list(missing)
-            self.cache.update(zip(wanted, self._encode(wanted)))
-        cache = self.cache
+        found = list(map(self.cache.get, pieces))
+        absent = [i for i, f in enumerate(found) if f is None]
+        if absent:
+            missing = list({pieces[i] for i in absent})
+            new = dict(zip(missing, self._encode(missing)))
+            for i in absent:
+                found[i] = new[pieces[i]]
+            if len(self.cache) + len(new) > CACHE_CHUNKS:
+                # Full: only what these texts use is kept.
+                self.cache = dict(zip(pieces, found))
+            else:
+                self.cache.update(new)
         first = np.searchsorted(starts, text_starts)
-        return [cache[p] for p in pieces], np.append(first[1:], len(starts)) - first
+        return found, np.append(first[1:], len(starts)) - first
 
 
 def chunk_encoder(path: str, offsets: bool = False) -> ChunkEncoder:

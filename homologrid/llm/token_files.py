@@ -26,7 +26,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from homologrid.llm.chunks import chunk_encoder, parts
-from homologrid.llm.common import documents, quoted, text_bytes, width
+from homologrid.llm.common import bounded_batches, documents, quoted, text_bytes, width
 from homologrid.staging import StageArea
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -158,6 +157,7 @@ def write_tokens(
     """Write the token files below ``folder``; the manifest rows, lazily: running them writes."""
     path = path or public_tokenizers.path(VOCABULARY)
     spark = docs.sparkSession
+    bounded_batches(spark)
     tie = F.xxhash64(quoted(text))
     rows = (
         docs.select(F.col(quoted(key)).cast("long").alias("id"), F.col(quoted(text)).alias("text"), tie.alias("tie"))
@@ -196,7 +196,7 @@ def write_tokens(
                 for n in per_text.tolist():
                     mine = found[place : place + n]
                     place += n
-                    flat = np.fromiter(chain(chain.from_iterable(mine), (end_id,)), np.uint32)
+                    flat = np.append(np.frombuffer(b"".join(mine), np.uint32), np.uint32(end_id))
                     if held and sum(sizes) + len(flat) > file_tokens:
                         yield close()
                         held, ids, sizes, number = [], [], [], number + 1

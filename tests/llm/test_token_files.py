@@ -39,7 +39,7 @@ def test_chunks_make_the_ids_of_whole_texts(tokenizer):
     found, counts = ChunkEncoder(public_tokenizers.path(VOCABULARY)).chunks([t.encode() for t in texts])
     at = 0
     for text, n in zip(texts, counts.tolist()):
-        ids = [i for chunk in found[at : at + n] for i in chunk]
+        ids = np.frombuffer(b"".join(found[at : at + n]), np.uint32).tolist()
         at += n
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
