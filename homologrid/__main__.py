@@ -124,6 +124,7 @@ def leiden_clustering(spark, args):
         _scores(spark, args.input),
         args.n_pcs,
         neighbours=args.n_neighbors,
+        share=args.neighbor_share,
         prefix=args.cluster_abbrev,
         name=args.cluster_name,
     )
@@ -298,6 +299,7 @@ def build_parser() -> argparse.ArgumentParser:
     sub.add_argument("--rounds", type=int, help="rounds of a layout, where not the usual number")
     sub = command("communities", leiden_clustering, "input", "output")
     sub.add_argument("--n-neighbors", type=int, default=10)
+    sub.add_argument("--neighbor-share", type=float, default=0.0, help="of all rows, where more")
     sub.add_argument("--n-pcs", type=int, default=reduction.PRESTEP_COMPONENTS)
     sub.add_argument("--cluster-name", default=clusters.COMMUNITY_COLUMN)
     sub.add_argument("--cluster-abbrev", default=clusters.COMMUNITY_PREFIX)

@@ -13,15 +13,14 @@ from homologrid.operators.reduction import PRESTEP_COMPONENTS, score_components,
 def communities_of_coordinates(
     coordinates: DataFrame,
     neighbours: int = 10,
-    share: float = 0.1,
+    share: float = 0.0,
     prefix: str = clusters.COMMUNITY_PREFIX,
     name: str = clusters.COMMUNITY_COLUMN,
     resolution: float = 1.0,
 ) -> DataFrame:
     """Neighbour graph of coordinates, communities, padded labels (largest first).
 
-    The neighbour count grows with the table (a tenth of the rows) by default, as
-    the analysis prescribes for small sets; pass ``share=0`` for a fixed count.
+    The neighbour count is fixed by default; ``share=0.1`` is customary for small sets.
     """
     count = coordinates.count()
     if count < 3:

@@ -155,7 +155,9 @@ class Run:
     def communities(self) -> DataFrame:
         return self._stage(
             "communities",
-            lambda: communities_of_coordinates(self.components(), self.settings.neighbours),
+            lambda: communities_of_coordinates(
+                self.components(), self.settings.neighbours, self.settings.neighbour_share
+            ),
         )
 
     def structure_clusters(self) -> DataFrame:

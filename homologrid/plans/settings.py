@@ -48,6 +48,7 @@ class Settings:
     plotting_modes: tuple[str, ...] = ("pca_tsne", "pca_umap")
     taxon_focus: str = "euk"
     neighbours: int = 10
+    neighbour_share: float = 0.0
     components: int = 30
     seed: int = 123456
     layout_rounds: int | None = None

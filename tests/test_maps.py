@@ -57,7 +57,8 @@ def test_neighbours_equal_brute_force(spark, blobs, metric, block_rows):
 def test_fewer_rows_than_neighbours(spark):
     rows = neighbour_lists(vector_frame(spark, np.eye(3)), 10).collect()
     assert sorted(len(r["targets"]) for r in rows) == [2, 2, 2]
-    assert default_neighbours(4) == 3 and default_neighbours(500) == 50 and default_neighbours(50) == 10
+    assert default_neighbours(4) == 3 and default_neighbours(500) == 10
+    assert default_neighbours(500, share=0.1) == 50 and default_neighbours(50, share=0.1) == 10
 
 
 def test_fuzzy_weights():

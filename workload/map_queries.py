@@ -166,8 +166,7 @@ ORACLES = {
     "knn_graph": f"""
 WITH {_NEAREST}
 SELECT query, target, rank, distance FROM ranked
-WHERE rank <= (SELECT least(greatest(10, round_even(count(*) * 0.1, 0)), count(*) - 1)
-               FROM embeddings)""",
+WHERE rank <= (SELECT least(10, count(*) - 1) FROM embeddings)""",
     "knn_in_degree": f"""
 WITH {_NEAREST}
 SELECT target, count(*) AS n, round(avg(sqrt(greatest(d2, 0))), 6) AS mean_distance
