@@ -9,10 +9,12 @@ and read back; nothing is kept only on an executor's own disk.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,7 +59,9 @@ class StageArea:
     def clear(self) -> None:
         """Delete every table of this area, if the session can still reach them."""
         if self.spark.sparkContext._jsc is not None:
-            drop_path(self.spark, self.root)
+            # At the end of the driver its JVM may be gone already.
+            with contextlib.suppress(Py4JError, OSError):
+                drop_path(self.spark, self.root)
 
     def write(self, df: DataFrame, label: str = "stage") -> DataFrame:
         """Write ``df`` once and return a scan of what was written."""
