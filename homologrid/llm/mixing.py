@@ -292,19 +292,24 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     marks = mix.placed.select(
         F.col("source").alias("s"), F.col("chunk").alias("c"), F.col("place").alias("p"), F.col("mixed").alias(mark), F.col("id").alias("i")
     )
-    alike = Window.partitionBy("i", mark).orderBy(F.col("s").asc_nulls_last(), "c", "p")
+    alike = Window.partitionBy(mark).orderBy(
+        F.col("i").asc_nulls_first(), F.col("s").asc_nulls_last(), "c", "p"
+    )
     marks = marks.withColumn(number, F.row_number().over(alike))
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")) & (F.col("place") == F.col("p"))
     chosen = slices.join(marks, same).select(
         F.col("id").alias(tag), F.col(mark).alias(begins), F.col(number).alias(ends), F.struct("words", "size", "parts").alias(whole)
     )
-    own = Window.partitionBy(F.col(quoted(key)), F.col(mark)).orderBy(F.col(quoted(source)).asc_nulls_last())
+    own = Window.partitionBy(mark).orderBy(
+        F.col(quoted(key)).asc_nulls_first(), F.col(quoted(source)).asc_nulls_last()
+    )
     given = docs.withColumn(mark, F.xxhash64(quoted(key), quoted(text))).withColumn(
         number, F.row_number().over(own)
     )
+    # The number is a condition beside the key, so that the window's shuffle of whole texts
+    # serves the join too.
     joined = given.join(
-        chosen,
-        F.col(quoted(key)).eqNullSafe(F.col(tag)) & (F.col(mark) == F.col(begins)) & (F.col(number) == F.col(ends)),
+        chosen, (F.col(mark) == F.col(begins)) & (F.col(number) - F.col(ends) == 0)
     )
     words = F.regexp_extract_all(F.col(quoted(text)), F.lit(WORD), F.lit(0))
     kept = F.flatten(
