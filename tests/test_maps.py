@@ -14,6 +14,7 @@ from homologrid.operators.neighbours import (
 )
 from homologrid.plans.clustering import communities_of_coordinates
 from tests.conftest import as_dict
+from workload import map_queries
 
 
 def vector_frame(spark, matrix, name="vector"):
@@ -204,6 +205,15 @@ def test_layouts_keep_groups_apart(spark, mode):
     assert (nearest == labels).mean() > 0.9
 
 
+def test_registered_layouts_run_all_rounds(spark, monkeypatch):
+    ran = {}
+    monkeypatch.setattr(layout, "tsne", lambda rows, **given: ran.update(tsne=given) or rows.withColumnRenamed("vector", "coords"))
+    monkeypatch.setattr(layout, "umap", lambda rows, **given: ran.update(umap=given) or rows.withColumnRenamed("vector", "coords"))
+    map_queries.tsne_layout(spark, "/root/testdata/sf0.001")
+    map_queries.umap_layout(spark, "/root/testdata/sf0.001")
+    assert set(ran) == {"tsne", "umap"} and all("rounds" not in given for given in ran.values())
+
+
 def test_small_layouts(spark):
     one = vector_frame(spark, np.ones((1, 3)))
     assert coords(layout.tsne(one)).tolist() == [[0.0, 0.0]]

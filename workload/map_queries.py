@@ -11,9 +11,6 @@ from homologrid.operators.vectors import vector_width
 from homologrid.plans.clustering import communities_of_vectors
 from workload.tables import table
 
-# Layouts stop early here; a real run takes the defaults of the operators.
-LAYOUT_ROUNDS = 20
-
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
@@ -109,12 +106,12 @@ def score_table_pca(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tsne_layout(spark: SparkSession, folder: str) -> DataFrame:
-    found = layout.reduce_dimensions(_vectors(spark, folder), "pca_tsne", rounds=LAYOUT_ROUNDS)
+    found = layout.reduce_dimensions(_vectors(spark, folder), "pca_tsne")
     return reduction.coordinate_columns(found, "tSNE", 2, first=1)
 
 
 def umap_layout(spark: SparkSession, folder: str) -> DataFrame:
-    found = layout.reduce_dimensions(_vectors(spark, folder), "pca_umap", rounds=LAYOUT_ROUNDS)
+    found = layout.reduce_dimensions(_vectors(spark, folder), "pca_umap")
     return reduction.coordinate_columns(found, "UMAP", 2, first=1)
 
 
