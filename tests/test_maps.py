@@ -105,6 +105,24 @@ def test_communities(spark):
     assert as_dict(graph.communities(edges.repartition(5)), "node", "community") == members
 
 
+def test_communities_of_a_long_path_are_settled(spark):
+    n = 60
+    pairs = [(i, i + 1) for i in range(n - 1)]
+    edges = spark.createDataFrame(
+        [(a, b, 1.0) for p in pairs for a, b in (p, p[::-1])], "src bigint, dst bigint, w double"
+    )
+    found = as_dict(graph.communities(edges), "node", "community")
+    total, volume, between = 2 * len(pairs), dict.fromkeys(found.values(), 0), {}
+    for a, b in pairs:
+        volume[found[a]] += 1
+        volume[found[b]] += 1
+        if found[a] != found[b]:
+            key = tuple(sorted((found[a], found[b])))
+            between[key] = between.get(key, 0) + 1
+    # No two communities would do better as one.
+    assert all(w <= volume[a] * volume[b] / total + 1e-9 for (a, b), w in between.items())
+
+
 def test_two_cliques_and_a_loner(spark):
     pairs = [(a, b) for s in (0, 10) for a in range(s, s + 5) for b in range(s, s + 5) if a != b]
     pairs += [(0, 10), (10, 0)]
