@@ -205,6 +205,37 @@ def test_grid_repulsion(spark):
     assert np.abs(got - force).max() < 0.02 * np.abs(force).max()
 
 
+def test_grid_repulsion_of_a_wide_layout(spark):
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.normal(size=(60, 2)) + shift for shift in (0, 130, 260)])
+    state = spark.createDataFrame(
+        [(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "id bigint, y0 double, y1 double"
+    )
+    squares, z, origin, step, nodes = layout.grid_repulsion(state)
+    gap = points[:, None] - points[None]
+    kernel = 1 / (1 + (gap**2).sum(axis=2))
+    force = (gap * (kernel**2)[:, :, None]).sum(axis=1)
+    got = layout.repulsion_at(points, squares, origin, step, nodes)
+    assert np.abs(got - force).max() < 0.005 * np.abs(force).max()
+    assert z == pytest.approx(kernel.sum() - len(points), rel=0.002)
+
+
+def test_every_row_draws_its_own_negatives(spark):
+    count = 3000
+    state = spark.range(count).selectExpr("id", "double(id) AS y0", "0D AS y1", "id AS code", "1D AS degree")
+    draws = layout.negative_draws(state, count, 1, 0).collect()
+    assert len(draws) == layout.NEGATIVES * count
+    # No shared pool: most rows push some other row in every round.
+    assert len({r["other"] for r in draws}) > 0.98 * count
+    a, b = layout.curve_parameters(0.5)
+    got = {r["id"]: r["q0"] for r in layout._pushed(state, layout.negative_draws(state, count, 1, 0), a, b).collect()}
+    want = dict.fromkeys(range(count), 0.0)
+    for r in draws:
+        gap = r["y0"] - r["other"]
+        want[r["id"]] += np.clip(2 * b * gap / ((0.001 + gap**2) * (1 + a * (gap**2) ** b)), -4, 4)
+    assert got == pytest.approx(want)
+
+
 def test_curve_parameters():
     a, b = layout.curve_parameters(0.1)
     assert (a, b) == (pytest.approx(1.577, abs=1e-2), pytest.approx(0.895, abs=1e-2))
