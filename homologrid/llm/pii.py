@@ -5,13 +5,15 @@
    anchored where a run begins, so long runs cost linear time and no stack.  One pass over
    the texts writes the matches; everything after works on that small table.
 2. *Contexts.* The word on the left, the word on the right and the pair of both around a seed, or
-   around any other token that looks like an identifier, are lexical patterns.  Patterns and distinct
+   around any other token or run of digit groups that looks like an identifier, are lexical patterns.
+   Words are those of the text, whether or not they are matches themselves.  Patterns and distinct
    identifiers form a graph, so copies of documents count once.
 3. *Scores.* A pattern's confidence for a kind is the share of its identifiers that are of that kind,
    given enough of them; an unseen identifier's is the noisy-or of its confident patterns.
-   Accepted identifiers count as seeds of the next round.  Rounds go on until none is added;
-   scores only grow, so they end.
-4. *Discovery.* Tokens of accepted identifiers in a confident context are added as spans.
+   Accepted identifiers count as seeds of the next round.  Rounds go on until none is added and no
+   trust changes (to nine digits); scores only grow, so they end.
+4. *Discovery.* Tokens and runs of accepted identifiers in a confident context are added as spans; of
+   spans of a kind one within another, only the outer one.
    Spans of the fixed patterns are never changed.
 
 Defined results: null counts as empty text; a text without matches has zero counts, the digest of the
@@ -39,9 +41,14 @@ PATTERNS = {
 }
 # Tokens with a digit or an at sign: what contexts may reveal.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-NEEDED = {"email": "@", "ip": r"[0-9]\.", "card": "[0-9]", "phone": r"\+[0-9]", "token": "[0-9@]"}
+# Groups of digits with spaces, dots, hyphens and brackets between them.
+RUN = r"(?<![\p{L}0-9@.+(-])\(?\+?[0-9](?:[\x20().-]{0,3}[0-9])++"
+UNSEEN = {"token": TOKEN, "run": RUN}
+NEEDED = {"email": "@", "ip": r"[0-9]\.", "card": "[0-9]", "phone": r"\+[0-9]", "token": "[0-9@]", "run": "[0-9][().-]*[\x20]"}
 
 CONTEXT_CHARS = 48
+# A match and the gap beside it have two characters at least: so many of them fill a context.
+CONTEXT_MATCHES = CONTEXT_CHARS // 2
 # Distinct identifiers that a pattern needs, and the confidence from which it counts.
 MIN_SUPPORT = 5
 PATTERN_CONFIDENCE = 0.8
@@ -95,13 +102,13 @@ def _likely(kind: str, value: Column) -> Column:
         "ip": value.rlike(r"^[0-9A-Fa-f.:]++$")
         & (F.length(F.regexp_replace(value, "[^.:]", "")) >= 2)
         & (digits >= 4),
-        "card": value.rlike(r"^[0-9-]+$") & digits.between(12, 19),
-        "phone": value.rlike(r"^[0-9().+/-]+$") & digits.between(7, 15),
+        "card": value.rlike(r"^[0-9]++(?:[\x20-]++[0-9]++)*+$") & digits.between(12, 19),
+        "phone": value.rlike(r"^[0-9().+/\x20-]+$") & digits.between(7, 15),
     }[kind]
 
 
 def _found(text: Column, name: str, pattern: str) -> Column:
-    """Matches of a pattern: length of the gap before, the match, and the words around it."""
+    """Matches of a pattern: length of the gap before, the match, and the ends of the gaps around it."""
     gaps = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     n = F.size(matches)
@@ -139,13 +146,13 @@ class PersonalData:
                 "id",
                 F.when(
                     whole.rlike("[0-9@]"),
-                    F.concat(*[_found(whole, k, p) for k, p in (PATTERNS | {"token": TOKEN}).items()]),
+                    F.concat(*[_found(whole, k, p) for k, p in (PATTERNS | UNSEEN).items()]),
                 ).alias("found"),
             ),
             "matches",
         )
         self.spans = area.write(self._placed(), "spans")
-        self.base = self.spans.where("kind <> 'token'").select("row", "kind", "start", "end", "value", "left", "right")
+        self.base = self.spans.where(~F.col("kind").isin(*UNSEEN)).select("row", "kind", "start", "end", "value", "left", "right")
         self.tokens = area.write(self._unseen(), "tokens")
         self.added = self._discovered(area)
 
@@ -157,8 +164,21 @@ class PersonalData:
         spent = F.coalesce(
             F.sum(F.length("value")).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         )
+        # Where a gap is short, the context goes on with the matches and gaps beyond it.
+        sooner = F.collect_list(F.right(F.concat("before", "value"), F.lit(CONTEXT_CHARS)))
+        later = F.collect_list(F.left(F.concat("value", "after"), F.lit(CONTEXT_CHARS)))
+        before = F.concat(F.array_join(sooner.over(upto.rowsBetween(-CONTEXT_MATCHES, -1)), ""), "before")
+        after = F.concat("after", F.array_join(later.over(upto.rowsBetween(1, CONTEXT_MATCHES)), ""))
         return (
-            each.withColumn("start", gaps + spent)
+            each.select(
+                "row",
+                "kind",
+                "value",
+                (gaps + spent).alias("start"),
+                F.right(before, F.lit(CONTEXT_CHARS)).alias("before"),
+                F.left(after, F.lit(CONTEXT_CHARS)).alias("after"),
+            )
+            .where("kind <> 'run' or contains(value, ' ')")
             .where(_valid(F.col("kind"), F.col("value")))
             .select(
                 "row",
@@ -172,9 +192,9 @@ class PersonalData:
         )
 
     def _unseen(self) -> DataFrame:
-        """Tokens without their outer punctuation that no span of the fixed patterns touches."""
+        """Tokens and runs without their outer punctuation that no span of the fixed patterns touches."""
         by = Window.partitionBy("row").orderBy("start", "kind")
-        based = F.col("kind") != "token"
+        based = ~F.col("kind").isin(*UNSEEN)
         earlier = F.max(F.when(based, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
         later = F.min(F.when(based, F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing))
         outer = r"^[^\p{L}0-9+(]*+"
@@ -183,7 +203,8 @@ class PersonalData:
         return (
             self.spans.withColumn("earlier", F.coalesce(earlier, F.lit(-1)))
             .withColumn("later", F.coalesce(later, F.col("end")))
-            .where("kind = 'token' and earlier <= start and later >= end")
+            .where(~based)
+            .where("earlier <= start and later >= end")
             .withColumn("lead", lead)
             .withColumn("trail", trail)
             .where("lead + trail < length(value)")
@@ -214,22 +235,31 @@ class PersonalData:
         accepted = area.write(
             edges.where("kind <> ''").select("kind", "value", F.lit(1.0).alias("trust")).distinct(), "trusted"
         )
-        count = accepted.count()
+        mark = self._mark(accepted)
         while True:
             patterns = area.write(self._confident(edges, accepted), "patterns")
             new = self._accepted(edges, patterns)
             known = edges.where("kind <> ''").select("kind", "value", F.lit(1.0).alias("trust")).distinct()
             accepted = area.write(known.union(new), "trusted")
-            before, count = count, accepted.count()
-            if count == before:
+            before, mark = mark, self._mark(accepted)
+            if mark == before:
                 break
         occurrences = self.tokens.withColumn("pattern", F.explode(self._patterns()))
-        return (
+        found = (
             occurrences.join(patterns.select("pattern", "kind"), "pattern")
             .join(accepted.where("trust < 1").select("kind", "value"), ["kind", "value"])
             .select("row", "kind", "start", "end")
             .distinct()
         )
+        by = Window.partitionBy("row", "kind").orderBy("start", F.desc("end"))
+        reached = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+        return found.withColumn("reached", reached).where("reached is null or reached < end").drop("reached")
+
+    @staticmethod
+    def _mark(accepted: DataFrame) -> tuple:
+        """Count and an order-free digest of the accepted identifiers and their trust."""
+        each = F.xxhash64("kind", "value", F.round("trust", 9))
+        return tuple(accepted.agg(F.count("*"), F.bit_xor(each)).first())
 
     @staticmethod
     def _confident(edges: DataFrame, accepted: DataFrame) -> DataFrame:

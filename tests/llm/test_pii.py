@@ -74,3 +74,18 @@ def test_contexts_reveal_unseen_identifiers(spark):
     docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
     extra = dict(check(rows, PersonalData(docs).listed().collect()))
     assert {k: v for k, v in extra.items() if v} == {100: ["email:15:29"]}
+
+
+def test_contexts_reveal_identifiers_of_several_tokens(spark):
+    rows = [(i, f"some words tel2: +1 (523) 555-10{i} today") for i in range(10, 50)]
+    rows += [(100, "some words tel2: (743) 555-3824 today"), (101, "some words tel2: 743 555 3824 today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = dict(check(rows, PersonalData(docs).listed().collect()))
+    assert {k: v for k, v in extra.items() if v} == {100: ["phone:17:31"], 101: ["phone:17:29"]}
+
+
+def test_words_beside_matches_are_contexts(spark):
+    rows = [(0, "x1 y2 z3 555-1055 a4 b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.value: (r.left, r.right) for r in PersonalData(docs).tokens.collect()}
+    assert found["555-1055"] == ("z3", "a4") and found["y2"] == ("x1", "z3")
