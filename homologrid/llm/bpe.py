@@ -479,5 +479,12 @@ def encoded_documents(docs: DataFrame) -> DataFrame:
     return encoded(docs, into=(ids, offsets))
 
 
+def round_trip(docs: DataFrame) -> DataFrame:
+    """``encoded_documents`` with the SHA-256 of the bytes that the ids decode to."""
+    ids, offsets, raw, digest = free_names(docs.columns, "ids", "offsets", "decoded", "decoded_sha256")
+    coded = encoded(docs, into=(ids, offsets))
+    return decoded(coded, ids, into=raw).withColumn(digest, F.sha2(raw, 256)).drop(raw)
+
+
 QUERIES = {"op7_byte_bpe": op7_byte_bpe}
 ORACLES: dict[str, str] = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 
 import corpus_pipeline
@@ -49,6 +51,13 @@ def test_stages(spark):
     assert sorted(map(str, ran.collect())) == sorted(map(str, coded))
 
 
+def test_the_last_stage_decodes(spark):
+    texts = ["", "é  b\n\n c", "日本 語 x<|endoftext|>y", "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in corpus_pipeline.byte_bpe(spark, docs, FOLDER).collect():
+        assert row.decoded_sha256 == hashlib.sha256(row.text.encode()).hexdigest()
+
+
 def _array(ids):
     import numpy as np
 
