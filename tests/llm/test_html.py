@@ -56,7 +56,7 @@ def test_pages_of_the_table_give_their_articles(spark):
     rows = out.collect()
     assert sorted(r.page_id for r in rows) == sorted(given)
     exact = sum(r.text == article_text(given[r.page_id].html) for r in rows)
-    assert exact >= 0.99 * len(rows)
+    assert exact == len(rows)
     assert all(r.n_chars == len(r.text) and r.url == given[r.page_id].url for r in rows)
 
 
