@@ -549,7 +549,7 @@ def composed_page(rng: random.Random) -> tuple[str, list[str]]:
             # A line that repeats, as in records of all kinds.
             line = kept(words(rng.randint(1, 4)).capitalize() + ".")
             times = rng.randint(8, 50)
-            content += [line] * (times - 1)
+            content.extend([line] * (times - 1))
             parts += [f"<p><b>{line}<br>" if i % 7 == 3 else f"<p>{line}</p>" for i in range(times)]
         body = "".join(parts)
         names = "content article post entry main-content article-body post-content story entry-content page-content main"
