@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homologrid.llm.common import bounded_batches, documents, extended, free_names, kept_by_worker, text_bytes
+from homologrid.llm.common import bounded_batches, documents, extended, free_names, kept_by_worker, quoted, text_bytes
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Bytes of text taken together, and slices kept with their ids per worker.
@@ -391,11 +391,20 @@ def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def encoded(
-    docs: DataFrame, text: str = "text", path: str | None = None, into: tuple[str, str] = ("ids", "offsets")
+    docs: DataFrame,
+    text: str = "text",
+    path: str | None = None,
+    into: tuple[str, str] = ("ids", "offsets"),
+    digest: str | None = None,
 ) -> DataFrame:
-    """All columns of ``docs`` with the ids of the text and the byte offset of each id."""
+    """All columns of ``docs`` with the ids of the text and the byte offset of each id.
+
+    With ``digest``, a column of that name holds the SHA-256 of the bytes that the ids decode to.
+    Names that ``docs`` has already get an underscore.
+    """
     path = path or public_tokenizers.path(RANKS)
     columns = docs.columns
+    more = free_names(columns, *into, *([digest] if digest else []))
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,31 +416,41 @@ def encoded(
                 bounds = pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32())
                 rows = batch.slice(at, len(part))
                 at += len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *rows.columns,
-                        pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32))),
-                        pa.ListArray.from_arrays(bounds, pa.array(offsets.astype(np.int32))),
-                    ],
-                    names=[*columns, *into],
-                )
+                added = [
+                    pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32))),
+                    pa.ListArray.from_arrays(bounds, pa.array(offsets.astype(np.int32))),
+                ]
+                if digest:
+                    upto = np.cumsum(per_text).tolist()
+                    decoded_texts = (own.decode(ids[a:b]) for a, b in zip([0, *upto], upto))
+                    added.append(pa.array([hashlib.sha256(t).hexdigest() for t in decoded_texts], pa.string()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=[*columns, *more])
+
+    kinds = ("array<int>", "array<int>", "string")
+    return docs.mapInArrow(run, extended(docs.schema, ", ".join(f"{quoted(n)} {k}" for n, k in zip(more, kinds))))
+
 
-    return docs.mapInArrow(run, extended(docs.schema, f"`{into[0]}` array<int>, `{into[1]}` array<int>"))
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of every id; all that decoding needs."""
+    with open(path, "rb") as lines:
+        known = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    return [known.get(i, b"") for i in range(1 + max(known))]
 
 
 def decoded(coded: DataFrame, ids: str = "ids", path: str | None = None, into: str = "decoded") -> DataFrame:
-    """All columns of ``coded`` with the bytes of the ids."""
+    """All columns of ``coded`` with the bytes of the ids; a taken name gets an underscore."""
     path = path or public_tokenizers.path(RANKS)
     columns = coded.columns
+    (into,) = free_names(columns, into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = kept_by_worker(("token bytes", path), lambda: token_bytes(path))
         for batch in batches:
             lists = batch.column(ids)
             texts = []
             for row in range(len(lists)):
                 numbers = lists[row].values
-                texts.append(b"" if numbers is None else own.decode(numbers.to_numpy()))
+                texts.append(b"" if numbers is None else b"".join(map(own.__getitem__, numbers.to_pylist())))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.binary())], names=[*columns, into]
             )
@@ -473,17 +492,9 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return digests(documents(spark, folder))
 
 
-def encoded_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with their ids and offsets under names that no column has."""
-    ids, offsets = free_names(docs.columns, "ids", "offsets")
-    return encoded(docs, into=(ids, offsets))
-
-
 def round_trip(docs: DataFrame) -> DataFrame:
-    """``encoded_documents`` with the SHA-256 of the bytes that the ids decode to."""
-    ids, offsets, raw, digest = free_names(docs.columns, "ids", "offsets", "decoded", "decoded_sha256")
-    coded = encoded(docs, into=(ids, offsets))
-    return decoded(coded, ids, into=raw).withColumn(digest, F.sha2(raw, 256)).drop(raw)
+    """``docs`` with ids, offsets and the SHA-256 of the bytes that the ids decode to, in one pass."""
+    return encoded(docs, digest="decoded_sha256")
 
 
 QUERIES = {"op7_byte_bpe": op7_byte_bpe}

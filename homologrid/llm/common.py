@@ -79,12 +79,14 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 def kept_by_worker(key: tuple, build):
-    """What ``build()`` makes, made once per Python process and key.
+    """What ``build()`` makes, made once per Python process and key; another key's object goes.
 
     Functions of this package travel to the tasks by value, so their modules'
     own variables do not outlive a task; this store does.
     """
     store = sys.modules.setdefault("_homologrid_kept", types.ModuleType("_homologrid_kept")).__dict__
-    if key not in store:
-        store[key] = build()
-    return store[key]
+    held = store.setdefault("held", {})
+    if key not in held:
+        held.clear()
+        held[key] = build()
+    return held[key]

@@ -9,8 +9,8 @@ import public_tokenizers
 import corpus_pipeline
 from homologrid.llm.bpe import RANKS, encoder
 from homologrid.llm.common import documents
-from homologrid.llm.simhash import fingerprint
 from homologrid.staging import StageArea
+from tests.llm.test_near_copies import brute_survivors
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -29,16 +29,7 @@ def test_stages(spark):
     for r in identified:
         largest[r.text] = max(r.doc_id, largest.get(r.text, -1))
     assert sorted(r.doc_id for r in exact) == sorted(largest.values())
-    marks = {r.doc_id: fingerprint(r.text.encode()) % (1 << 64) for r in exact}
-    label = {i: i for i in marks}
-    changed = True
-    while changed:
-        changed = False
-        for i in marks:
-            for j in marks:
-                if label[j] < label[i] and (marks[i] ^ marks[j]).bit_count() <= 2:
-                    label[i], changed = label[j], True
-    assert sorted(r.doc_id for r in near) == sorted(set(label.values()))
+    assert {r.doc_id for r in near} == brute_survivors([(r.doc_id, r.text) for r in exact])
     words = {r.doc_id: r.text.split() for r in near}
     total = sum(map(len, words.values()))
     assert abs(sum(len(r.text.split()) for r in mixed) - total) <= len({r.source for r in near})
