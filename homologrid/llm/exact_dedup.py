@@ -27,6 +27,7 @@ import contextlib
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyarrow import fs
@@ -48,8 +49,10 @@ from homologrid.staging import StageArea
 
 TABLE_BYTES = 32 << 20
 FAN_OUT_BITS = 4
-# What an entry takes besides its content.
+# What an entry takes besides its content and row.
 ENTRY_BYTES = 200
+# Replaced rows beyond as many as there are entries, after which they are dropped.
+COMPACT_ROWS = 4096
 
 
 class ContentTable:
@@ -59,7 +62,7 @@ class ContentTable:
         self.slots = [-1] * 1024
         self.hashes: list[int] = []
         self.contents: list[bytes] = []
-        self.bytes = 0
+        self.bytes = self.row_bytes = 0
 
     def place(self, key: int, content: bytes, may_add: bool) -> int:
         """The entry of a content; -1 when it is absent and may not be added."""
@@ -74,7 +77,7 @@ class ContentTable:
         self.slots[at] = entry = len(self.hashes)
         self.hashes.append(key)
         self.contents.append(content)
-        self.bytes += len(content) + ENTRY_BYTES
+        self.bytes += len(content) + self.row_bytes + ENTRY_BYTES
         if 2 * len(self.hashes) > len(self.slots):
             self._grow()
         return entry
@@ -134,6 +137,8 @@ def grace(
         for batch in batches:
             keys = batch.column(key).to_pylist()
             contents = text_bytes(batch.column(content))
+            # A new entry may keep its whole row beside its content.
+            table.row_bytes = batch.nbytes // max(1, len(keys))
             entries = [
                 table.place(k, c, table.bytes < table_bytes) for k, c in zip(keys, contents)
             ]
@@ -174,6 +179,7 @@ def _collapse(names: dict[str, str], columns: list[str], table_bytes: int, spill
         # Entry -> [best id, copies, stored chunk, row in it]; one list per table.
         state: list[list] = []
         chunks: list[pa.RecordBatch] = []
+        stored_rows = 0
         for kind, *event in grace(
             batches, names["key"], names["text"], table_bytes, spill_root
         ):
@@ -200,6 +206,10 @@ def _collapse(names: dict[str, str], columns: list[str], table_bytes: int, spill
                     for position, entry in enumerate(better):
                         state[entry][2:] = [len(chunks), position]
                     chunks.append(stored)
+                    stored_rows += stored.num_rows
+                    if stored_rows > 2 * len(state) + COMPACT_ROWS:
+                        chunks = [_compacted(chunks, state)]
+                        stored_rows = len(state)
                 if thin_ids:
                     yield _thin_rows(batch.schema, names, columns, thin_ids, thin_classes)
             else:
@@ -220,11 +230,21 @@ def _collapse(names: dict[str, str], columns: list[str], table_bytes: int, spill
                         names=[*columns, *(names[n] for n in ("key", "text", "class", "copies"))],
                     )
                 base += len(state)
-                state, chunks = [], []
+                state, chunks, stored_rows = [], [], 0
 
     return run
 
 
+def _compacted(chunks: list[pa.RecordBatch], state: list[list]) -> pa.RecordBatch:
+    """The current row of every entry in one chunk; rows that larger ids replaced go."""
+    firsts = list(accumulate((c.num_rows for c in chunks), initial=0))
+    every = pa.Table.from_batches(chunks)
+    rows = every.take(pa.array([firsts[e[2]] + e[3] for e in state], pa.int64())).combine_chunks()
+    for position, entry in enumerate(state):
+        entry[2:] = [0, position]
+    return rows.to_batches()[0]
+
+
 def _thin_rows(schema, names, columns, ids, classes) -> pa.RecordBatch:
     """Rows that only say which id belongs to which class."""
     n = len(ids)

@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import pyarrow as pa
+
 import hashlib
 
 import pytest
 
+from homologrid.llm import exact_dedup
 from homologrid.llm.exact_dedup import ContentTable, ExactDedup
 
 SCHEMA = "doc_id long, text string, content_key string, class string"
@@ -55,3 +60,33 @@ def test_equal_hashes_do_not_join_texts():
     placed = [table.place(7, b"%d" % i, True) for i in range(3000)]
     assert placed == list(range(3000))
     assert [table.place(7, b"%d" % i, False) for i in (5, 2999, 4000)] == [5, 2999, -1]
+
+
+def test_memory_stays_flat_over_copies_with_ascending_ids(monkeypatch):
+    names = {"key": "key", "text": "text", "id": "id", "class": "class", "copies": "copies"}
+    monkeypatch.setattr(exact_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    held = []
+
+    def batches(n):
+        for start in range(0, n, 1000):
+            own = range(start, start + 1000)
+            texts = [f"text {i % 400} " + "x" * 2000 for i in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own, pa.int64()), pa.array([i % 400 for i in own], pa.int64()), pa.array(texts)],
+                names=["id", "key", "text"],
+            )
+            held.append(pa.total_allocated_bytes())
+
+    run = exact_dedup._collapse(names, ["id"], 32 << 20, "/nowhere")
+    out = [b for b in run(batches(60_000)) if b.column("copies").null_count < b.num_rows]
+    rows = [r for b in out for r in b.to_pylist()]
+    assert sorted(r["id"] for r in rows) == list(range(59_600, 60_000)) and {r["copies"] for r in rows} == {150}
+    # Sixty thousand rows of 2 KB are 120 MB; two batches and the compacted chunks are not.
+    assert max(held) - held[0] < 40 << 20
+
+
+def test_whole_rows_count_against_the_table():
+    table = ContentTable()
+    table.row_bytes = 5000
+    table.place(1, b"abc", True)
+    assert table.bytes > 5000
