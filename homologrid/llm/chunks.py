@@ -2,13 +2,15 @@
 
 A space or newline right after a printable character always starts a pre-token of the
 byte-level pattern, whatever stands around it; so does plain punctuation after a letter or digit,
-and a letter or digit after plain punctuation.  Texts are cut there, equal chunks are
+and a letter or digit after plain punctuation.  The strings of special tokens are chunks of their own, as
+the library cuts them out before anything else.  Texts are cut there, equal chunks are
 encoded once and kept in a bounded cache, and the ids of a text are those of its chunks in a row:
 exactly the ids of the whole text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -71,8 +73,8 @@ class ChunkEncoder:
 
     def __init__(self, path: str, offsets: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        # The strings of special tokens are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.offsets = offsets
         self.cache: dict[bytes, object] = {}
 
@@ -90,6 +92,16 @@ class ChunkEncoder:
         ends = ends.tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
+    def _around_special(self, joined: bytes, starts: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+        """Starts of chunks with one at both ends of every special token, and none inside."""
+        spans = np.array([m.span() for m in self.special.finditer(joined)], np.int64)
+        # What begins in one text and ends in the next is no token.
+        inside = np.searchsorted(text_starts, spans[:, 0], "right") == np.searchsorted(text_starts, spans[:, 1] - 1, "right")
+        first, last = spans[inside].T
+        at = np.searchsorted(first, starts, "left") - 1
+        outside = (at < 0) | (starts >= last[np.maximum(at, 0)]) if len(first) else np.ones(len(starts), bool)
+        return np.unique(np.concatenate((starts[outside], first, last[last < len(joined)])))
+
     def chunks(self, texts: list[bytes]) -> tuple[list, np.ndarray]:
         """What each chunk is encoded to, and the number of chunks of every text.
 
@@ -101,6 +113,8 @@ class ChunkEncoder:
         if not joined:
             return [], np.zeros(len(texts), np.int64)
         starts = cut(np.frombuffer(joined, np.uint8), text_starts)
+        if self.special and self.special.search(joined):
+            starts = self._around_special(joined, starts, text_starts)
         ends = np.append(starts[1:], len(joined))
         pieces = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         found = list(map(self.cache.get, pieces))

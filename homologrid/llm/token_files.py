@@ -173,7 +173,7 @@ def write_tokens(
         held: list[np.ndarray] = []
         ids: list = []
         sizes: list[int] = []
-        number = 0
+        number = total = 0
 
         def close() -> pa.RecordBatch:
             tokens = np.concatenate(held)
@@ -197,12 +197,13 @@ def write_tokens(
                     mine = found[place : place + n]
                     place += n
                     flat = np.append(np.frombuffer(b"".join(mine), np.uint32), np.uint32(end_id))
-                    if held and sum(sizes) + len(flat) > file_tokens:
+                    if held and total + len(flat) > file_tokens:
                         yield close()
-                        held, ids, sizes, number = [], [], [], number + 1
+                        held, ids, sizes, number, total = [], [], [], number + 1, 0
                     held.append(flat)
                     ids.append(every[at])
                     sizes.append(len(flat))
+                    total += len(flat)
                     at += 1
         if held:
             yield close()

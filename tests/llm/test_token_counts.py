@@ -16,7 +16,6 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tokenizer():
     out = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
-    out.encode_special_tokens = True
     return out
 
 

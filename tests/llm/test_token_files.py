@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyarrow import BufferReader
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from homologrid.llm.chunks import ChunkEncoder
@@ -29,7 +31,6 @@ ODD = ["", " ", "a  b", "é  b\n\n c", "日本 語　x y", "it's\n're", "x<|endo
 @pytest.fixture(scope="module")
 def tokenizer():
     out = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
-    out.encode_special_tokens = True
     return out
 
 
@@ -89,3 +90,30 @@ def test_odd_rows_and_random_access(spark, tokenizer):
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, 5, 5]
     manifest = area.write(write_tokens(docs.limit(0), f"{place}3"), "manifest")
     assert read_documents(manifest, f"{place}3").count() == 0
+
+
+def test_special_tokens_are_cut_as_the_library_does(tokenizer):
+    end = "<|endoftext|>"
+    texts = [f"x{end}y", end, end * 3, f" {end} \n{end}", f"a<|{end}|>b", "<|endof", "text|>", f"é{end}é", f"{end}'s 1"]
+    own = ChunkEncoder(public_tokenizers.path(VOCABULARY))
+    found, counts = own.chunks([t.encode() for t in texts])
+    at = 0
+    for text, n in zip(texts, counts.tolist()):
+        ids = np.frombuffer(b"".join(found[at : at + n]), np.uint32).tolist()
+        at += n
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert np.frombuffer(b"".join(found[: int(counts[0])]), np.uint32).tolist() == [87, 50256, 88]
+
+
+def test_many_short_documents_take_linear_time(spark):
+    def seconds(n):
+        area = StageArea(spark, "test")
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).coalesce(1)
+        began = time.monotonic()
+        manifest = area.write(write_tokens(docs, f"{area.root}/tokens"), "manifest")
+        assert sum(r.tokens for r in manifest.collect()) == n
+        return time.monotonic() - began
+
+    seconds(1000)
+    # Four times the rows in far less than sixteen times the time.
+    assert seconds(200_000) < 8 * seconds(50_000) + 2
