@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from homologrid.llm.common import WORD, documents, free_names, quoted, whole_text
+from homologrid.llm.common import WORD, documents, free_names, quoted, whole_text, width
 from homologrid.staging import StageArea
 
 WEIGHTS = (5, 2, 1)
@@ -186,7 +186,7 @@ class Mix:
         total = self.sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
         runs = self.sources.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("slots") / 4096))).alias("run"))
         each = (
-            runs.repartition(F.col("source"), F.col("run"))
+            runs.repartition(width(self.placed.sparkSession), F.col("source"), F.col("run"))
             .select("*", F.explode(F.sequence(F.lit(0), F.lit(4095))).alias("step"))
             .withColumn("slot", F.col("run") * 4096 + F.col("step"))
             .where("slot < slots")
@@ -250,11 +250,32 @@ class Mix:
             )
         )
 
+    def shards(self) -> DataFrame:
+        """The draw: per output shard and source its slots and words.
+
+        All slots are dealt to shards by one permutation, so the counts of a shard are a multinomial draw
+        conditioned on the totals of the sources.
+        """
+        return self.slots.groupBy("shard", "source").agg(F.count("*").alias("slots"), F.sum("words").alias("words"))
+
+    def shard_pieces(self) -> DataFrame:
+        """The content of the output shards: pieces of documents by ``shard``, ``position`` and ``begin``."""
+        return self.taken_pieces().select(
+            "shard", "position", "begin", "source", "pass", "id",
+            (F.col("begin") - F.col("start")).alias("first_word"),
+            (F.col("upto") - F.col("begin")).alias("words"),
+        )
+
     def taken(self) -> DataFrame:
-        """``id, source, size, source_size, target, taken`` of every row."""
+        """Of every row ``id, source, size, source_size, target, taken``, and the output shards that hold it."""
         words = self.taken_pieces().groupBy(
             F.col("source").alias("s"), F.col("chunk").alias("c"), F.col("place").alias("p")
-        ).agg(F.sum(F.col("upto") - F.col("begin")).alias("taken"))
+        ).agg(
+            F.sum(F.col("upto") - F.col("begin")).alias("taken"),
+            F.count("*").alias("pieces"),
+            F.min("shard").alias("first_shard"),
+            F.max("shard").alias("last_shard"),
+        )
         same = (
             F.col("source").eqNullSafe(F.col("s"))
             & (F.col("chunk") == F.col("c"))
@@ -264,7 +285,12 @@ class Mix:
         return (
             self.placed.join(words, same, "left")
             .join(sources, F.col("source").eqNullSafe(F.col("of")))
-            .select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+            .select(
+                "id", "source", "size", "source_size", "target",
+                F.coalesce("taken", F.lit(0)).alias("taken"),
+                F.coalesce("pieces", F.lit(0)).alias("pieces"),
+                "first_shard", "last_shard",
+            )
         )
 
 
@@ -333,7 +359,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
 def op3_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     return Mix(documents(spark, folder)).taken().select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "pieces", "first_shard", "last_shard"
     )
 
 

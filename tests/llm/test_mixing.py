@@ -88,3 +88,27 @@ def test_empty_tables(spark):
 def test_permutations(spark, n):
     numbers = spark.range(n).select(_permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit("k")))
     assert sorted(r[0] for r in numbers.collect()) == list(range(n))
+
+
+def test_shards_hold_the_mix(spark):
+    docs, _ = docs_of(spark)
+    mix = Mix(docs, block=7, shard_slots=16)
+    shards = {(r.shard, r.source): (r.slots, r.words) for r in mix.shards().collect()}
+    pieces = mix.shard_pieces().collect()
+    words, places = {}, {}
+    for p in pieces:
+        words[p.shard, p.source] = words.get((p.shard, p.source), 0) + p.words
+        places.setdefault((p.shard, p.source), set()).add(p.position)
+    assert words == {k: w for k, (_, w) in shards.items()}
+    assert {k: len(v) for k, v in places.items()} == {k: n for k, (n, _) in shards.items()}
+    # Every shard but the last is full, and no place is dealt twice.
+    full = {}
+    for (shard, _), (n, _) in shards.items():
+        full[shard] = full.get(shard, 0) + n
+    assert all(n == 16 for shard, n in full.items() if shard != max(full))
+    for row in mix.taken().collect():
+        mine = [p for p in pieces if p.id == row.id and p.source == row.source]
+        if row.taken:
+            assert row.first_shard >= min(p.shard for p in mine) and row.last_shard <= max(p.shard for p in mine)
+        else:
+            assert row.pieces == 0 and row.first_shard is None
