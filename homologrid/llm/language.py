@@ -33,6 +33,8 @@ UNDETERMINED = "und"
 DIMENSIONS = 1 << 12
 GRAMS = (1, 2, 3)
 PER_LANGUAGE = 400
+# Parts of a language whose smallest hashes are found apart.
+SAMPLE_SALTS = 256
 EPOCHS = 12
 COST = 1.0
 # Bytes of a text counted at once; whole texts are covered, piece by piece.
@@ -216,16 +218,27 @@ def train(
 
 
 def _smallest(marked: DataFrame, most: int) -> DataFrame:
-    """The ``most`` smallest orders of every label; cut inside the tasks before the shuffle."""
+    """The ``most`` smallest orders of every label.
+
+    First of every label and salt, so a label of any size spreads over tasks, then of the label.
+    """
+    salted = Window.partitionBy("label", "salt").orderBy("order")
     by = Window.partitionBy("label").orderBy("order")
     return (
-        marked.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).drop("place").distinct()
+        marked.withColumn("salt", F.pmod("order", F.lit(SAMPLE_SALTS)))
+        .withColumn("place", F.row_number().over(salted))
+        .where(F.col("place") <= most)
+        .withColumn("place", F.row_number().over(by))
+        .where(F.col("place") <= most)
+        .select("label", "order")
+        .distinct()
     )
 
 
 def with_language(docs: DataFrame, model: Model | None, text: str = "text", into=("lang_pred", "score")) -> DataFrame:
-    """All columns of ``docs`` with the predicted language and its score."""
+    """All columns of ``docs`` with the predicted language and its score; taken names get an underscore."""
     columns = docs.columns
+    into = free_names(columns, *into)
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +252,7 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", into
                 names=[*columns, *into],
             )
 
-    return docs.mapInArrow(run, extended(docs.schema, f"`{into[0]}` string, `{into[1]}` double"))
+    return docs.mapInArrow(run, extended(docs.schema, f"{quoted(into[0])} string, {quoted(into[1])} double"))
 
 
 def identified(docs: DataFrame) -> DataFrame:
