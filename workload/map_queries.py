@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homologrid.operators import graph, layout, reduction, superposition
+from homologrid.operators import alignment, graph, layout, reduction, superposition
 from homologrid.operators.neighbours import default_neighbours, neighbour_lists, neighbour_rows
 from homologrid.operators.vectors import vector_width
 from homologrid.plans.clustering import communities_of_vectors
@@ -131,6 +131,46 @@ def structure_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
     return superposition.tm_scores(superposition.index_aligned(pairs, carbons))
 
 
+# Residues that the copies of structure_alignment_copies lack, counted from 0.
+GONE = (0, 1, 2, 10)
+
+
+def structure_alignment_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector as a chain, aligned both ways with a turned copy that lacks some residues and numbers anew."""
+    given = _vectors(spark, folder).select(
+        F.concat(F.lit("V"), F.col("protid").cast("string")).alias("protid"),
+        F.posexplode(F.slice("vector", 1, F.floor(F.size("vector") / 3).cast("int") * 3)).alias("place", "value"),
+    )
+    at = F.pmod("place", F.lit(3))
+    carbons = (
+        given.groupBy("protid", F.floor(F.col("place") / 3).cast("int").alias("residue"))
+        .agg(*[F.max(F.when(at == i, F.col("value").cast("double") * 10)).alias(a) for i, a in enumerate("xyz")])
+    )
+    # A quarter turn about one axis, a shift, and other numbers for the residues.
+    copies = carbons.where(~F.col("residue").isin(*GONE)).select(
+        F.concat(F.lit("copy-"), "protid").alias("protid"),
+        (F.col("residue") * 2 + 500).alias("residue"),
+        (-F.col("y") + 3).alias("x"),
+        (F.col("x") - 7).alias("y"),
+        (F.col("z") + 11).alias("z"),
+    )
+    structures = alignment.chains(carbons.unionByName(copies))
+    names = carbons.select("protid").distinct()
+    copy = F.concat(F.lit("copy-"), "protid")
+    pairs = names.select(F.col("protid").alias("query"), copy.alias("target")).union(names.select(copy, "protid"))
+    return alignment.alignment_scores(pairs, structures).select(
+        "query", "target", F.round("score", 5).alias("score"), F.col("aligned").cast("long").alias("aligned")
+    )
+
+
+def sequence_double_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vectors, spelled in nine letters, with at least three equal 4-mers on one diagonal."""
+    value = lambda x: F.least(F.greatest(F.floor(x.cast("double") * 16) + 4, F.lit(0)), F.lit(8))
+    letters = F.transform("vector", lambda x: F.substring(F.lit("ACDEFGHIK"), (value(x) + 1).cast("int"), F.lit(1)))
+    sequences = _vectors(spark, folder).select("protid", F.array_join(letters, "").alias("sequence"))
+    return alignment.double_hits(sequences, k=4, least=3)
+
+
 QUERIES = {
     "knn_graph": knn_graph,
     "knn_in_degree": knn_in_degree,
@@ -139,6 +179,8 @@ QUERIES = {
     "leiden_membership": leiden_membership,
     "setcover_clusters": setcover_clusters,
     "structure_pair_scores": structure_pair_scores,
+    "structure_alignment_copies": structure_alignment_copies,
+    "sequence_double_hits": sequence_double_hits,
     "pca_scores": pca_scores,
     "pca_variance": pca_variance,
     "similarity_pca_scores": similarity_pca_scores,
@@ -160,6 +202,25 @@ ranked AS (
 """
 
 ORACLES = {
+    "structure_alignment_copies": """
+WITH chains AS (
+  SELECT 'V' || CAST(vec_id AS VARCHAR) AS protid, len(embedding) // 3 AS n FROM embeddings),
+lacking AS (
+  SELECT protid, n, n - (CASE WHEN n > 10 THEN 4 ELSE least(n, 3) END) AS kept FROM chains)
+SELECT protid AS query, 'copy-' || protid AS target, 1.0::DOUBLE AS score, kept AS aligned FROM lacking WHERE kept > 0
+UNION ALL
+SELECT 'copy-' || protid, protid, round(kept / n, 5), kept FROM lacking WHERE kept > 0""",
+    "sequence_double_hits": """
+WITH letters AS (
+  SELECT vec_id, array_to_string(list_transform(embedding, lambda x: substr('ACDEFGHIK',
+    CAST(least(greatest(floor(CAST(x AS DOUBLE) * 16) + 4, 0), 8) AS INTEGER) + 1, 1)), '') AS sequence FROM embeddings),
+places AS (SELECT vec_id, sequence, unnest(generate_series(1, len(sequence) - 3)) AS place FROM letters),
+kmers AS (SELECT vec_id, place, substr(sequence, place, 4) AS kmer FROM places),
+hits AS (
+  SELECT a.vec_id AS query, b.vec_id AS target, b.place - a.place AS diagonal, count(*) AS hits
+  FROM kmers a JOIN kmers b ON a.kmer = b.kmer AND a.vec_id < b.vec_id GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query, target ORDER BY hits DESC, diagonal) AS place FROM hits)
+SELECT query, target, CAST(diagonal AS INTEGER) AS diagonal, hits FROM ranked WHERE place = 1""",
     "knn_graph": f"""
 WITH {_NEAREST}
 SELECT query, target, rank, distance FROM ranked
