@@ -68,6 +68,15 @@ def _shares(q: np.ndarray, t: np.ndarray, weights: np.ndarray, scale: float) ->
     return 1 / (1 + distances / scale**2)
 
 
+def start_windows(n: int) -> list[tuple[int, int]]:
+    """First residue and length of every start over ``n`` aligned residues."""
+    starts = set()
+    for share in START_SHARES:
+        size = max(min(n, SHORTEST_START), int(n * share))
+        starts |= {(first, size) for first in (*range(0, n - size + 1, max(1, size // 2)), n - size)}
+    return sorted(starts)
+
+
 def best_score(q: np.ndarray, t: np.ndarray, length: int) -> float:
     """Score of aligned residues over a target of ``length``: the best of all starts.
 
@@ -76,12 +85,8 @@ def best_score(q: np.ndarray, t: np.ndarray, length: int) -> float:
     """
     scale = max(0.5, 1.24 * max(length - 15, 0) ** (1 / 3) - 1.8)
     n = len(q)
-    starts = set()
-    for share in START_SHARES:
-        size = max(min(n, SHORTEST_START), int(n * share))
-        starts |= {(first, size) for first in (*range(0, n - size + 1, max(1, size // 2)), n - size)}
     places = np.arange(n)
-    weights = np.array([(places >= f) & (places < f + size) for f, size in sorted(starts)], float)
+    weights = np.array([(places >= f) & (places < f + size) for f, size in start_windows(n)], float)
     found, best = 0.0, np.full(len(weights), -1.0)
     for _ in range(MOST_STEPS):
         shares = _shares(q, t, weights, scale)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homologrid.operators import alignment, graph, layout, reduction, superposition
+from homologrid.operators import alignment, graph, layout, reduction
 from homologrid.operators.neighbours import default_neighbours, neighbour_lists, neighbour_rows
 from homologrid.operators.vectors import vector_width
 from homologrid.plans.clustering import communities_of_vectors
@@ -128,7 +128,7 @@ def structure_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
         ],
     )
     pairs = neighbour_rows(neighbour_lists(vectors, 5)).select("query", "target")
-    return superposition.tm_scores(superposition.index_aligned(pairs, carbons))
+    return alignment.index_scores(pairs, alignment.chains(carbons))
 
 
 # Residues that the copies of structure_alignment_copies lack, counted from 0.
