@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homologrid.operators import statistics
+from homologrid.operators.densities import cluster_densities
 from homologrid.operators.ordering import exact_quantiles, running_totals, value_counts
 from workload.tables import table
 
@@ -56,6 +57,15 @@ def ks_against_targets(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(found, d=8, p=8)
 
 
+def violin_densities(spark: SparkSession, folder: str) -> DataFrame:
+    """Densities of prices by return flag and line, on one grid."""
+    lines = table(spark, folder, "lineitem").select(
+        F.concat_ws("-", "l_returnflag", (F.col("l_linenumber") % 3).cast("string")).alias("name"),
+        (F.col("l_extendedprice") / 1000).alias("price"),
+    )
+    return _rounded(cluster_densities(lines, "name", "price"), bandwidth=8, at=6, density=8)
+
+
 def bh_fdr(spark: SparkSession, folder: str) -> DataFrame:
     """Adjustment of one p-value per part, in two families."""
     part = table(spark, folder, "part").select(
@@ -102,6 +112,7 @@ QUERIES = {
     "mwu_against_targets": mwu_against_targets,
     "ks_by_cluster": ks_by_cluster,
     "ks_against_targets": ks_against_targets,
+    "violin_densities": violin_densities,
     "bh_fdr": bh_fdr,
     "cluster_median_markers": cluster_median_markers,
     "cluster_markers_vs_rest": cluster_markers_vs_rest,
@@ -243,6 +254,18 @@ WITH RECURSIVE {_BALANCES}, {_POOL_TARGETS}, {_GAPS}, {_PATHS}
 SELECT cluster, n1, n2, round(d, 8) AS d,
        round(greatest(0.0, 1 - inside), 8) AS p
 FROM gaps JOIN shares USING (cluster)""",
+    "violin_densities": """
+WITH vals AS (
+  SELECT l_returnflag || '-' || CAST(l_linenumber % 3 AS VARCHAR) AS cluster,
+         CAST(l_extendedprice AS DOUBLE) / 1000 AS x FROM lineitem),
+kernels AS (
+  SELECT cluster, count(*) AS n, 1.06 * stddev_samp(x) * pow(count(*), -0.2) AS bandwidth FROM vals GROUP BY cluster),
+grid AS (
+  SELECT CAST(i AS INTEGER) AS point, low + i * (high - low) / 99 AS spot
+  FROM (SELECT min(x) AS low, max(x) AS high FROM vals), unnest(range(100)) AS t(i))
+SELECT cluster, n, round(bandwidth, 8) AS bandwidth, point, round(spot, 6) AS "at",
+       round(sum(exp(-0.5 * pow((spot - x) / bandwidth, 2))) / (n * bandwidth * sqrt(2 * pi())), 8) AS density
+FROM vals JOIN kernels USING (cluster), grid GROUP BY cluster, n, bandwidth, point, spot""",
     "bh_fdr": """
 WITH raw AS (
   SELECT p_partkey, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS family,
