@@ -112,11 +112,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one output column per entry of ``shares``.
 
-    Unlike a per-group percentile buffer, no group is ever held in one task.
+    Unlike a per-group percentile buffer, no group is ever held in one task.  The input is read
+    once, into counts of values that are written.
     """
     groups = list(groups)
-    counts = value_counts(df, value, groups)
-    bounds = range_bounds(df, value)
+    counts = StageArea(df.sparkSession, "quantiles").write(value_counts(df, value, groups), "counts")
+    bounds = range_bounds(counts, value)
     ranked = running_totals(counts, value, ["n"], groups, bounds)
     sizes = counts.groupBy(*groups).agg(F.sum("n").alias("_size"))
     ranked = ranked.join(sizes, groups) if groups else with_scalars(ranked, sizes)

@@ -67,16 +67,20 @@ def _tie_term(n: Column) -> Column:
 
 def _sided_counts(
     values: DataFrame, targets: Sequence | None
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts per (cluster, value); per value of the comparison sample; the same with ranks."""
-    counts = value_counts(values, "value", ["cluster"])
+) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
+    """Counts per (cluster, value); per value of the comparison sample; the same with ranks; the ranges.
+
+    The counts are written once; the input is not read again.
+    """
+    area = StageArea(values.sparkSession, "counts")
+    counts = area.write(value_counts(values, "value", ["cluster"]), "counts")
     compared = F.col("n")
     if targets is not None:
         # Values the comparison sample lacks take part with a count of 0.
         compared = F.when(F.col("cluster").isin(list(targets)), F.col("n")).otherwise(0)
     pooled = counts.groupBy("value").agg(F.sum(compared).alias("base"))
-    ranked = running_totals(pooled, "value", ["base"], bounds=range_bounds(values, "value"))
-    return counts, pooled, ranked
+    bounds = range_bounds(counts, "value")
+    return counts, pooled, running_totals(pooled, "value", ["base"], bounds=bounds), bounds
 
 
 def rank_sum_test(
@@ -90,7 +94,7 @@ def rank_sum_test(
     carries the tie and continuity corrections.  Small untied samples get the
     exact p-value when ``exact``.
     """
-    counts, pooled, ranked = _sided_counts(values, targets)
+    counts, pooled, ranked, _ = _sided_counts(values, targets)
     joined = counts.join(ranked, "value")
     own = F.col("n").cast("double")
     base = F.col("base").cast("double")
@@ -186,8 +190,7 @@ def distribution_gap_test(values: DataFrame, targets: Sequence | None = None) ->
     cluster's next value (or at the very end, where it is 0), so it is enough to
     look at and just below each of the cluster's own values.
     """
-    counts, pooled, ranked = _sided_counts(values, targets)
-    bounds = range_bounds(values, "value")
+    counts, pooled, ranked, bounds = _sided_counts(values, targets)
     own = running_totals(counts, "value", ["n"], ["cluster"], bounds)
     sizes = counts.groupBy("cluster").agg(F.sum("n").alias("n1"))
     size = pooled.agg(F.sum("base").alias("size"))
