@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 from tools.check_queries import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"leiden_membership", "setcover_clusters", "tsne_layout", "umap_layout", "score_table_pca"}
+SLOW = {"leiden_membership", "setcover_clusters", "umap_layout", "score_table_pca"}
 
 
 @pytest.fixture(scope="module")
