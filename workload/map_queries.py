@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homologrid.operators import alignment, graph, layout, reduction
+from homologrid.operators import alignment, graph, layout, reduction, tile_field
 from homologrid.operators.neighbours import default_neighbours, neighbour_lists, neighbour_rows
 from homologrid.operators.vectors import vector_width
 from homologrid.plans.clustering import communities_of_vectors
@@ -115,6 +115,15 @@ def umap_layout(spark: SparkSession, folder: str) -> DataFrame:
     return reduction.coordinate_columns(found, "UMAP", 2, first=1)
 
 
+def map_repulsion(spark: SparkSession, folder: str) -> DataFrame:
+    """The push of all rows of a map on every row; the map is the first two entries of the vectors."""
+    places = [(F.get("vector", F.lit(axis)).cast("double") * 200).alias(f"y{axis}") for axis in range(2)]
+    rows = _vectors(spark, folder).select(F.col("protid").alias("id"), *places).dropna()
+    return tile_field.row_pushes(rows).select(
+        "id", *[(F.round(f"push{axis}", 3) + 0.0).alias(f"push{axis}") for axis in range(2)]
+    )
+
+
 def structure_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
     """TM-scores of every vector, read as a chain of 3-D points, with its nearest ones."""
     vectors = _vectors(spark, folder)
@@ -187,6 +196,7 @@ QUERIES = {
     "score_table_pca": score_table_pca,
     "tsne_layout": tsne_layout,
     "umap_layout": umap_layout,
+    "map_repulsion": map_repulsion,
 }
 
 _NEAREST = """
@@ -202,6 +212,15 @@ ranked AS (
 """
 
 ORACLES = {
+    "map_repulsion": """
+WITH places AS (
+  SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 200 AS y0, CAST(embedding[2] AS DOUBLE) * 200 AS y1 FROM embeddings),
+gaps AS (
+  SELECT a.id, a.y0 - b.y0 AS d0, a.y1 - b.y1 AS d1
+  FROM places a JOIN places b ON a.y0 + a.y1 + b.y0 + b.y1 IS NOT NULL)
+SELECT id, round(sum(d0 / pow(1 + d0 * d0 + d1 * d1, 2)), 3) + 0.0 AS push0,
+       round(sum(d1 / pow(1 + d0 * d0 + d1 * d1, 2)), 3) + 0.0 AS push1
+FROM gaps GROUP BY id""",
     "structure_alignment_copies": """
 WITH chains AS (
   SELECT 'V' || CAST(vec_id AS VARCHAR) AS protid, len(embedding) // 3 AS n FROM embeddings),
