@@ -10,15 +10,14 @@ Two kinds of input are supported:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from homologrid.operators.ordering import dense_codes
 from homologrid.operators.vectors import (
     MAX_SHIPPED_BYTES,
     check_shipped,
@@ -31,6 +30,9 @@ from homologrid.staging import StageArea
 
 # At most this many key vectors are written into one generated expression.
 KEYS_PER_PASS = 64
+# Cluster means in a block; the products of two blocks take some 50 MB.
+MEANS_PER_BLOCK = 1024
+PAIRS_PER_BATCH = 1 << 16
 
 
 def check_scores(scores: DataFrame, score: str = "score_text") -> DataFrame:
@@ -165,8 +167,8 @@ def block_similarity(vectors: DataFrame, cluster: str, vector: str = "vector") -
     """Mean similarity of every cluster with every cluster, from the cluster means.
 
     The result has one row per pair of clusters by definition; nothing larger is
-    ever made.  Mean vectors reach the tasks in slices of bounded size, so the
-    number of clusters is not limited by the memory of one machine.
+    ever made.  Means of at most ``MAX_SHIPPED_BYTES`` together reach every task at once; more of them
+    meet block by block (``products_by_block``), so neither the driver nor a task holds them all.
     """
     means = StageArea(vectors.sparkSession, "means").write(
         cluster_means(vectors, cluster, vector)
@@ -178,40 +180,82 @@ def _mean_products(means: DataFrame) -> DataFrame:
     """<mean, mean> of all pairs of rows of a small or large table of cluster means."""
     shape = means.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("mean")).alias("d")).first()
     count, width = int(shape["n"]), int(shape["d"] or 0)
-    slices = max(1, math.ceil(count * width * 8 / MAX_SHIPPED_BYTES))
+    if count * width * 8 > MAX_SHIPPED_BYTES:
+        return products_by_block(means, count, width)
+    shipped = means.select("cluster", "mean").toArrow().combine_chunks()
+    if shipped.num_rows == 0:
+        return means.sparkSession.createDataFrame([], _product_schema(means))
+    names = shipped.column("cluster").combine_chunks()
+    queries = matrix_of(shipped.to_batches()[0], "mean")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            targets = batch.column(batch.schema.get_field_index("cluster"))
+            yield from _paired(targets, matrix_of(batch, "mean"), names, queries)
+
+    return means.select("cluster", "mean").mapInArrow(multiply, _product_schema(means))
+
+
+def _product_schema(means: DataFrame) -> str:
     kind = means.schema["cluster"].dataType.simpleString()
-    schema = f"target_cluster {kind}, query_cluster {kind}, similarity double"
-    tables = []
-    for number in range(slices):
-        piece = means
-        if slices > 1:
-            piece = means.where(F.pmod(F.xxhash64("cluster"), F.lit(slices)) == number)
-        shipped = piece.select("cluster", "mean").toArrow().combine_chunks()
-        if shipped.num_rows == 0:
-            continue
-        names = shipped.column("cluster").combine_chunks()
-        queries = matrix_of(shipped.to_batches()[0], "mean")
-
-        def multiply(
-            batches: Iterator[pa.RecordBatch], names=names, queries=queries
-        ) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                targets = batch.column(batch.schema.get_field_index("cluster"))
-                products = matrix_of(batch, "mean") @ queries.T if len(targets) else None
-                for row in range(len(targets)):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([targets[row].as_py()] * len(names), targets.type),
-                            names,
-                            pa.array(products[row]),
-                        ],
-                        names=["target_cluster", "query_cluster", "similarity"],
-                    )
-
-        tables.append(means.select("cluster", "mean").mapInArrow(multiply, schema))
-    if not tables:
-        return means.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionAll, tables)
+    return f"target_cluster {kind}, query_cluster {kind}, similarity double"
+
+
+def _paired(
+    targets: pa.Array, left: np.ndarray, queries: pa.Array, right: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Products of all rows of two blocks, in batches of about ``PAIRS_PER_BATCH`` pairs."""
+    step = max(1, PAIRS_PER_BATCH // max(len(queries), 1))
+    for first in range(0, len(targets), step):
+        products = left[first : first + step] @ right.T
+        rows, columns = products.shape
+        yield pa.RecordBatch.from_arrays(
+            [
+                targets.take(pa.array(np.arange(first, first + rows).repeat(columns))),
+                queries.take(pa.array(np.tile(np.arange(columns), rows))),
+                pa.array(products.reshape(-1)),
+            ],
+            names=["target_cluster", "query_cluster", "similarity"],
+        )
+
+
+def products_by_block(
+    means: DataFrame, count: int, width: int, block_rows: int = MEANS_PER_BLOCK
+) -> DataFrame:
+    """<mean, mean> of all pairs of rows of ``cluster, mean``, two blocks of rows a task.
+
+    Rows are numbered and cut into blocks; the task of blocks (i, j), i <= j, gets both and gives their
+    products in both orders.  A task holds at most two blocks of ``block_rows`` rows (fewer where rows are
+    wide) and their products; a row is sent once for every block.
+    """
+    size = max(1, min(block_rows, MAX_SHIPPED_BYTES // (16 * max(width, 1))))
+    blocks = -(-count // size)
+    area = StageArea(means.sparkSession, "mean-blocks")
+    codes = dense_codes(means.select("cluster"), "cluster")
+    placed = area.write(
+        means.join(codes, "cluster").select("cluster", "mean", F.floor(F.col("code") / size).alias("block")),
+        "placed",
+    )
+    rows = placed.select(
+        F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(blocks - 1).cast("long"))).alias("j"), "cluster", "mean"
+    )
+    columns = placed.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("k"), F.col("block").alias("l"), "cluster", "mean"
+    )
+
+    def multiply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        (first, one), (second, other) = (
+            (t.column("cluster").combine_chunks(), matrix_of(t.combine_chunks().to_batches()[0], "mean"))
+            for t in (left, right)
+        )
+        batches = list(_paired(first, one, second, other))
+        if key[0].as_py() != key[1].as_py():
+            batches += _paired(second, other, first, one)
+        return pa.Table.from_batches(batches)
+
+    return (
+        rows.groupBy("i", "j").cogroup(columns.groupBy("k", "l")).applyInArrow(multiply, _product_schema(means))
+    )
 
 
 def block_similarity_of_scores(

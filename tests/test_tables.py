@@ -286,3 +286,33 @@ def test_fixed_colours(spark):
     assert as_dict(found, "category", "colour") == {"a": "#111111", "b": "#222222"}
     with pytest.raises(ValueError, match="'b'"):
         presentation.category_colours(table, "c", fixed={"a": "#111111"})
+
+
+@pytest.mark.parametrize("block_rows", [1, 4, 100])
+def test_means_meet_block_by_block(spark, block_rows):
+    """Every ordered pair once, whatever the blocks; equal to the product of all means."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(11, 5))
+    means = spark.createDataFrame(
+        [(f"c{i:02d}", v.tolist()) for i, v in enumerate(vectors)], "cluster string, mean array<double>"
+    )
+    found = similarity.products_by_block(means, 11, 5, block_rows).collect()
+    got = {(r["target_cluster"], r["query_cluster"]): r["similarity"] for r in found}
+    assert len(found) == len(got) == 121
+    for (a, b), value in got.items():
+        assert value == pytest.approx(vectors[int(a[1:])] @ vectors[int(b[1:])])
+
+
+def test_many_means_take_the_blocks(spark, monkeypatch):
+    """Beyond the bytes that may be shipped the result is the same; repeated and single rows included."""
+    rows = [(i, i % 7, [float(i), 1.0, float(i % 3)]) for i in range(40)] + [(40, None, [1.0, 2.0, 3.0])]
+    vectors = spark.createDataFrame(rows, "id int, cluster int, vector array<double>")
+    want = sorted(map(tuple, similarity.block_similarity(vectors, "cluster").collect()))
+    used = []
+    by_block = similarity.products_by_block
+    monkeypatch.setattr(similarity, "products_by_block", lambda *given: used.append(1) or by_block(*given))
+    monkeypatch.setattr(similarity, "MAX_SHIPPED_BYTES", 100)
+    got = sorted(map(tuple, similarity.block_similarity(vectors, "cluster").collect()))
+    assert used and len(got) == 49
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
