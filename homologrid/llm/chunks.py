@@ -10,6 +10,7 @@ exactly the ids of the whole text.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -72,6 +73,8 @@ class ChunkEncoder:
     """Encodes runs of texts; one per worker process and vocabulary file."""
 
     def __init__(self, path: str, offsets: bool = False):
+        # A task has one core: the library's own threads would only wait for one another.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
