@@ -13,6 +13,7 @@ from homologrid.operators.neighbours import (
     squared_distances,
 )
 from homologrid.plans.clustering import communities_of_coordinates
+from homologrid.staging import StageArea
 from tests.conftest import as_dict
 from workload import map_queries
 
@@ -55,6 +56,34 @@ def test_neighbours_equal_brute_force(spark, blobs, metric, block_rows):
         assert row["distances"] == pytest.approx(list(expected), abs=1e-9)
 
 
+def test_neighbours_write_no_more_for_more_blocks(spark, monkeypatch):
+    """Vectors without groups: every query visits most of 60 blocks, and no table grows with their number."""
+    points = np.random.default_rng(2).normal(size=(480, 12))
+    written = []
+
+    def counted(self, df, *args, write=StageArea.write, **options):
+        out = write(self, df, *args, **options)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(StageArea, "write", counted)
+    rows = neighbour_lists(vector_frame(spark, points), 5, metric="euclidean", block_rows=8)
+    plan = rows._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and max(written) <= len(points)
+    square = squared_distances(points, points, (points**2).sum(axis=1).max())
+    np.fill_diagonal(square, np.inf)
+    want = smallest(square, 5)
+    assert {r["query"]: r["targets"] for r in rows.collect()} == {i: list(w) for i, w in enumerate(want.tolist())}
+
+
+def test_neighbours_of_equal_distance_and_text_ids(spark):
+    """All distances are the same: lists hold the smallest ids, whatever block they are in."""
+    ids = [f"p{i:02d}" for i in range(40)]
+    frame = spark.createDataFrame([(name, row) for name, row in zip(ids, np.eye(40).tolist())], "protid string, vector array<double>")
+    for row in neighbour_lists(frame, 3, block_rows=6).collect():
+        assert row["targets"] == [name for name in ids if name != row["query"]][:3]
+
+
 def test_fewer_rows_than_neighbours(spark):
     rows = neighbour_lists(vector_frame(spark, np.eye(3)), 10).collect()
     assert sorted(len(r["targets"]) for r in rows) == [2, 2, 2]
