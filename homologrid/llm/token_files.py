@@ -191,12 +191,11 @@ def write_tokens(
             at = 0
             every = batch.column("id").to_pylist()
             for texts in parts(text_bytes(batch.column("text"))):
-                found, per_text = own.chunks(texts)
+                found, per_text = own.ids(texts)
                 place = 0
                 for n in per_text.tolist():
-                    mine = found[place : place + n]
+                    flat = np.append(found[place : place + n], np.uint32(end_id))
                     place += n
-                    flat = np.append(np.frombuffer(b"".join(mine), np.uint32), np.uint32(end_id))
                     if held and total + len(flat) > file_tokens:
                         yield close()
                         held, ids, sizes, number, total = [], [], [], number + 1, 0

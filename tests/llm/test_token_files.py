@@ -45,6 +45,21 @@ def test_chunks_make_the_ids_of_whole_texts(tokenizer):
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_of_whole_texts_with_every_distinct_chunk_encoded_once(tokenizer):
+    rng = random.Random(1)
+    texts = ODD + ["".join(rng.choices(["a", "É", " ", "\n", "'s", "!", " word", "語", "<|endoftext|>", "<|endoftext|", "|>"], k=30)) for _ in range(500)]
+    own = ChunkEncoder(public_tokenizers.path(VOCABULARY))
+    asked, inner = [], own._encode
+    own._encode = lambda chunks: asked.extend(chunks) or inner(chunks)
+    for _ in range(2):
+        ids, counts = own.ids([t.encode() for t in texts])
+        ends = np.cumsum(counts)
+        for text, a, b in zip(texts, ends - counts, ends):
+            assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(asked) == len(set(asked))
+    assert own.ids(["".encode()] * 2)[1].tolist() == [0, 0] and own.ids([])[1].tolist() == []
+
+
 def test_any_token_and_any_range():
     rng = np.random.default_rng(0)
     for top in (1, 256, 50_257, 1 << 30):
