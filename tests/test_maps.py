@@ -219,6 +219,20 @@ def test_components_of_a_score_table(spark):
     assert np.abs(np.abs(got) - np.abs(direct_scores(dense, 2))).max() < 1e-3
 
 
+def test_components_of_close_variances_take_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    dense = np.where(rng.random((240, 60)) < 0.4, rng.integers(1, 51, (240, 60)), 0).astype(float)
+    rows = [(int(i), int(j), float(dense[i, j])) for i, j in zip(*np.nonzero(dense))]
+    labels, inner = [], StageArea.write
+    monkeypatch.setattr(StageArea, "write", lambda self, df, label="stage", **o: labels.append(label) or inner(self, df, label, **o))
+    monkeypatch.setattr(reduction, "MOST_COLUMNS", 24)
+    got = coords(reduction.score_components(spark.createDataFrame(rows, "query bigint, target bigint, score double"), 2, extra=4))
+    direct = direct_scores(dense, 2)
+    assert (got**2).sum() >= 0.999 * (direct**2).sum()
+    assert np.abs(got.mean(axis=0)).max() < 1e-6
+    assert sum(label.startswith("image") for label in labels) <= 12
+
+
 def test_grid_repulsion(spark):
     rng = np.random.default_rng(4)
     points = rng.normal(size=(150, 2)) * 6
