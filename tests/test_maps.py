@@ -233,6 +233,18 @@ def test_components_of_close_variances_take_few_passes(spark, monkeypatch):
     assert sum(label.startswith("image") for label in labels) <= 12
 
 
+def test_score_components_with_missing_ids(spark):
+    rng = np.random.default_rng(9)
+    dense = rng.normal(size=(20, 3)) @ rng.normal(size=(3, 8))
+    rows = [(i, j, float(dense[i, j])) for i in range(20) for j in range(8)]
+    odd = [(None, 2, 900.0), (3, None, 700.0), (None, None, 5.0)]
+    got = reduction.score_components(spark.createDataFrame([*rows, *odd], "query bigint, target bigint, score double"), 2)
+    found = {r.protid: r.coords for r in got.collect()}
+    assert len(found) == 21
+    kept = np.array([found[i] for i in range(20)])
+    assert same_up_to_sign(kept - kept.mean(axis=0), direct_scores(dense, 2))
+
+
 def test_grid_repulsion(spark):
     rng = np.random.default_rng(4)
     points = rng.normal(size=(150, 2)) * 6
