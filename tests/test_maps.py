@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from homologrid.operators import graph, layout, reduction, superposition
+from homologrid.operators import graph, layout, neighbours, reduction, superposition
 from homologrid.operators.neighbours import (
     default_neighbours,
     neighbour_lists,
@@ -365,3 +365,18 @@ def test_tm_scores(spark):
     bent[20:] = bent[20:] @ turn + [40, 0, 0]
     assert superposition.best_score(base, bent, 40) >= 0.5
     assert superposition.best_score(base[:3], base[:3] + 1.0, 40) == pytest.approx(3 / 40)
+
+
+def test_knn_graph_has_a_tenth_of_all_vectors(spark, tmp_path, monkeypatch):
+    """The neighbour count grows with the table; short chunks of long lists give the same rows."""
+    points = np.random.default_rng(6).normal(size=(155, 8))
+    rows = vector_frame(spark, points, "embedding").withColumnRenamed("protid", "vec_id")
+    rows.repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(neighbours, "LIST_CELLS", 100)
+    assert neighbours.chunk_rows(16) == 6 and neighbours.chunk_rows(1000) == 1
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    square = squared_distances(unit, unit, 1.0)
+    np.fill_diagonal(square, np.inf)
+    want = smallest(square, 16)
+    found = {(r["query"], r["rank"]): r["target"] for r in map_queries.knn_graph(spark, str(tmp_path)).collect()}
+    assert found == {(i, place + 1): target for i, row in enumerate(want.tolist()) for place, target in enumerate(row)}
