@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from homologrid.operators import graph, layout, neighbours, reduction, superposition
+from homologrid.operators import graph, layout, neighbours, reduction, score_blocks, superposition
 from homologrid.operators.neighbours import (
     default_neighbours,
     neighbour_lists,
@@ -245,6 +245,29 @@ def test_score_components_with_missing_ids(spark):
     assert same_up_to_sign(kept - kept.mean(axis=0), direct_scores(dense, 2))
 
 
+def test_score_components_in_many_blocks(spark, monkeypatch):
+    """Text ids, repeated pairs, missing ids and scores, over some blocks; no pass shuffles scores or rows of a thin matrix."""
+    rng = np.random.default_rng(12)
+    dense = np.where(rng.random((50, 40)) < 0.5, rng.normal(size=(50, 3)) @ rng.normal(size=(3, 40)), 0.0)
+    rows = [(f"q{i}", f"t{j}", float(dense[i, j]) / 2) for i, j in zip(*np.nonzero(dense)) for _ in range(2)]
+    odd = [(None, "t2", 900.0), ("q3", None, 700.0), ("q4", "t5", None)]
+    monkeypatch.setattr(score_blocks, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(score_blocks, "TASK_SCORES", 300)
+    shuffled = []
+
+    def counted(self, df, label="stage", write=StageArea.write, **options):
+        if label.startswith(("image", "draft", "found")):
+            shuffled.append(df._jdf.queryExecution().toString().count("Join"))
+        return write(self, df, label, **options)
+
+    monkeypatch.setattr(StageArea, "write", counted)
+    table = spark.createDataFrame([*rows, *odd], "query string, target string, score double")
+    found = {r.protid: r.coords for r in reduction.score_components(table, 2, tolerance=1e-12).collect()}
+    assert len(found) == 51 and shuffled and not any(shuffled)
+    kept = np.array([found[f"q{i}"] for i in range(50)])
+    assert same_up_to_sign(kept - kept.mean(axis=0), direct_scores(dense, 2))
+
+
 def test_grid_repulsion(spark):
     rng = np.random.default_rng(4)
     points = rng.normal(size=(150, 2)) * 6
