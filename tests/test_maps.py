@@ -268,6 +268,20 @@ def test_score_components_in_many_blocks(spark, monkeypatch):
     assert same_up_to_sign(kept - kept.mean(axis=0), direct_scores(dense, 2))
 
 
+def test_score_table_pca_goes_by_parts(spark, tmp_path):
+    """The columns of the table are parts; all lines are of one supplier."""
+    rng = np.random.default_rng(13)
+    lines = [(order, int(part), 1, float(rng.integers(1, 51))) for order in range(30) for part in rng.choice(12, 5, replace=False)]
+    spark.createDataFrame([(order, order % 10) for order in range(30)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double"
+    spark.createDataFrame(lines, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    dense = np.zeros((10, 12))
+    for order, part, _, quantity in lines:
+        dense[order % 10, part] = max(dense[order % 10, part], quantity)
+    found = {r.protid: (r.PC0, r.PC1) for r in map_queries.score_table_pca(spark, str(tmp_path)).collect()}
+    assert same_up_to_sign(np.array([found[i] for i in range(10)]), direct_scores(dense, 2))
+
+
 def test_grid_repulsion(spark):
     rng = np.random.default_rng(4)
     points = rng.normal(size=(150, 2)) * 6
